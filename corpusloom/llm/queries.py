@@ -32,3 +32,56 @@ def p2_found(spark, sf):
     from .bitslice import near_duplicates, pairs_between_groups
 
     return pairs_between_groups(*near_duplicates(_cards(spark, sf)))
+
+
+@query("p4_found")
+def p4_found(spark, sf):
+    from ..plans.staging import Stage
+    from .components import connected_components, member_edges
+
+    stage = Stage(spark, "p4")
+    buckets = table(spark, sf, "hf_buckets", "card_id", "bucket_id")
+    buckets = buckets.select("card_id", F.nullif(F.lower(F.regexp_replace("bucket_id", r"(?U)^\s+|\s+$", "")), F.lit("")).alias("bucket"))
+    merges = table(spark, sf, "dedup_pairs", "card_id_a", "card_id_b", "merged").where("merged")
+    edges = member_edges(buckets, stage).unionByName(merges.select(F.col("card_id_a").alias("node"), F.col("card_id_b").alias("root")))
+    return connected_components(edges, stage).select(F.col("component").alias("group_id"), F.col("node").alias("card_id"))
+
+
+@query("p6_found")
+def p6_found(spark, sf):
+    from .merkle import same_records
+
+    return same_records(table(spark, sf, "card_records", "record_id", "tag", "body_text", "is_analytic", "payload"))
+
+
+@query("p7_ids")
+def p7_ids(spark, sf):
+    from .bpe import encode_texts
+
+    return encode_texts(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def _sizes(spark, sf, stage):
+    from .bpe import count_tokens
+
+    return stage.write(count_tokens(table(spark, sf, "documents", "doc_id", "text")), "sizes")
+
+
+@query("p8_found")
+def p8_found(spark, sf):
+    from ..plans.staging import Stage
+    from .packing import CAPACITY, pack
+
+    stage = Stage(spark, "p8")
+    placed = pack(_sizes(spark, sf, stage), CAPACITY, stage)
+    # only an item larger than a container has a second piece
+    return placed.where("piece = 1").select("doc_id")
+
+
+@query("p8_containers")
+def p8_containers(spark, sf):
+    from ..plans.staging import Stage
+    from .packing import CAPACITY, pack
+
+    stage = Stage(spark, "p8")
+    return pack(_sizes(spark, sf, stage), CAPACITY, stage)
