@@ -85,3 +85,11 @@ def p8_containers(spark, sf):
 
     stage = Stage(spark, "p8")
     return pack(_sizes(spark, sf, stage), CAPACITY, stage)
+
+
+@query("p1_found")
+def p1_found(spark, sf):
+    from .survivors import best_fields, card_fields
+
+    columns = ("id", "canonical_key", "fullcite", "body_text", "variant_count", "team_count", "markup_html", "fidelity", "updated_at")
+    return best_fields(table(spark, sf, "cards", *columns), card_fields())
