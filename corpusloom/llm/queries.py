@@ -93,3 +93,11 @@ def p1_found(spark, sf):
 
     columns = ("id", "canonical_key", "fullcite", "body_text", "variant_count", "team_count", "markup_html", "fidelity", "updated_at")
     return best_fields(table(spark, sf, "cards", *columns), card_fields())
+
+
+@query("p9_found")
+def p9_found(spark, sf):
+    from .reading import english_of_length, reading_levels
+
+    documents = english_of_length(table(spark, sf, "documents", "doc_id", "text", "lang"))
+    return reading_levels(documents, table(spark, sf, "reading_refs", "level", "text")).select("doc_id", "level")
