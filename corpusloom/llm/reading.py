@@ -3,7 +3,7 @@
 Passages of documents and words are the two sides of a weighted graph. Graded examples are
 clamped to their level; everything else takes harmonic steps: a word's difficulty is the
 mean of the passages it occurs in, a passage's the mean of its words, weighted by how much a
-word tells. A document has the median of its passages, each with the weight of one, so that
+word tells. A document has the median of its passages, so that
 a few easier or harder sentences do not move it. Words are hashed into a fixed number of slots, so the word side is a vector of
 bounded size that is broadcast, while the document side, the one that grows, stays where it
 is: an iteration is one pass with one small partial vector per partition.
@@ -85,17 +85,20 @@ def passage_scores(words: np.ndarray, passage: np.ndarray, n: int, level: np.nda
 
 
 def document_scores(rows: list[np.ndarray], level: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Median score of each document's passages; NaN where none is known."""
+    """Weighted median score of each document's passages; NaN where none is known."""
     words, passage, doc = _flat(rows)
     score = passage_scores(words, passage, len(doc), level, weight)
     ok = ~np.isnan(score)
+    share = (1 + np.bincount(passage, minlength=len(doc)) / 400)[ok]  # of two halves the longer one
     doc, score = doc[ok], score[ok]
     order = np.lexsort((score, doc))
-    score, n = score[order], np.bincount(doc, minlength=len(rows))
-    first = np.cumsum(n) - n
+    doc, score, share = doc[order], score[order], share[order]
+    whole = np.bincount(doc, weights=share, minlength=len(rows))
+    upto = np.cumsum(share) - (np.cumsum(whole) - whole)[doc]
+    middle = np.flatnonzero(upto >= whole[doc] / 2 - 1e-9)
     out = np.full(len(rows), np.nan)
-    some = n > 0
-    out[some] = (score[first[some] + (n[some] - 1) // 2] + score[first[some] + n[some] // 2]) / 2
+    docs, first = np.unique(doc[middle], return_index=True)
+    out[docs] = score[middle[first]]
     return out
 
 
