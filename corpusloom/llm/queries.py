@@ -101,3 +101,11 @@ def p9_found(spark, sf):
 
     documents = english_of_length(table(spark, sf, "documents", "doc_id", "text", "lang"))
     return reading_levels(documents, table(spark, sf, "reading_refs", "level", "text")).select("doc_id", "level")
+
+
+@query("p5_found")
+def p5_found(spark, sf):
+    from .history import first_accepted
+
+    columns = ("record_id", "batch_no", "external_id", "tag", "body_text", "is_analytic", "payload")
+    return first_accepted(table(spark, sf, "card_records", *columns))
