@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
@@ -55,7 +56,7 @@ NUMBERING = r"(?i)^\s*(?:\(?\d+[\).]|\(?[a-z][\).]|[ivx]+[\).])\s+"
 ANSWER_PREFIX = r"(?i)^\s*(?:(?:a2|at|a/2|a-2)\s*[:\-–—]?\s+|(?:a2|at)[:\-–—]\s*)"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
