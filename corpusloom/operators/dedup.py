@@ -55,10 +55,11 @@ def _band_keys(shingles: pd.Series) -> pd.Series:
 
 def candidate_pairs(cards: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of cards that share a band. Cards with the very same shingles
-    are one node in the bands; each is paired with the first of them."""
-    same = cards.select("card_id", F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"), "shingles")
-    first = same.groupBy("h1", "h2").agg(F.min("card_id").alias("a"), F.first("shingles").alias("shingles"))
-    copies = same.join(first.select("h1", "h2", "a"), ["h1", "h2"]).where("card_id <> a").select("a", F.col("card_id").alias("b"))
+    and citation are one node in the bands, under the smallest id, and each of them is
+    paired with that one: the merge treats them alike, and no group gives all its pairs."""
+    same = cards.select("card_id", F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"), F.coalesce("cite", F.lit("")).alias("c"), "shingles")
+    first = same.groupBy("h1", "h2", "c").agg(F.min("card_id").alias("a"), F.first("shingles").alias("shingles"))
+    copies = same.join(first.select("h1", "h2", "c", "a"), ["h1", "h2", "c"]).where("card_id <> a").select("a", F.col("card_id").alias("b"))
     bands = first.select("a", F.explode(_band_keys("shingles")).alias("band"))
     # every two of a band: a band of different texts is small, copies are out already
     pairs = bands.join(bands.select(F.col("a").alias("b"), "band"), "band").where("a < b").select("a", "b")

@@ -225,9 +225,11 @@ def _(spark, sf):
     return D.universe(_card_rows(spark, sf)).select("card_id", F.size("shingles").cast("long").alias("n_shingles"))
 
 
-@query("q_d5_near_dup_pairs", f"""WITH {_SHINGLES}, e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
+@query("q_d5_near_dup_pairs", f"""WITH {_SHINGLES}, k AS (SELECT s.id, coalesce(c.cite, '') AS cite, list_sort(s) AS s FROM s JOIN cards c USING (id)),
+r AS (SELECT min(id) AS id, cite, s FROM k GROUP BY cite, s), e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM r),
 p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS inter FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
-SELECT a, b, CASE WHEN inter / (na + nb - inter) >= 0.9 THEN 'dup' ELSE 'trim' END AS verdict FROM p WHERE inter / (na + nb - inter) >= 0.9 OR (inter / least(na, nb) >= 0.95 AND inter / (na + nb - inter) >= 0.8)""")
+SELECT a, b, CASE WHEN inter / (na + nb - inter) >= 0.9 THEN 'dup' ELSE 'trim' END AS verdict FROM p WHERE inter / (na + nb - inter) >= 0.9 OR (inter / least(na, nb) >= 0.95 AND inter / (na + nb - inter) >= 0.8)
+UNION SELECT r.id, k.id, 'dup' FROM k JOIN r ON r.s = k.s AND r.cite = k.cite WHERE r.id <> k.id""")
 def _(spark, sf):
     stage = Stage(spark, "d5")
     cards = stage.write(D.universe(_card_rows(spark, sf)), "universe")
