@@ -82,12 +82,12 @@ def _(spark, sf):
 
 
 @query("q_k4_get_or_create", """
-WITH have AS (SELECT id, caselist, name FROM schools WHERE id <= 100), w AS (SELECT DISTINCT caselist, name FROM schools),
+WITH have AS (SELECT id, caselist, name FROM schools WHERE state IS NOT NULL), w AS (SELECT DISTINCT caselist, name FROM schools),
 fresh AS (SELECT caselist, name, row_number() OVER (ORDER BY caselist NULLS FIRST, name NULLS FIRST) AS n FROM w WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.caselist IS NOT DISTINCT FROM w.caselist AND h.name IS NOT DISTINCT FROM w.name))
 SELECT * FROM have UNION ALL SELECT (SELECT max(id) FROM have) + n, caselist, name FROM fresh""")
 def _(spark, sf):
-    s = Corpus(spark, sf).table("schools", "id", "caselist", "name")
-    return I.get_or_create(s, ["caselist", "name"], s.where("id <= 100"))
+    s = Corpus(spark, sf).table("schools", "id", "caselist", "name", "state")
+    return I.get_or_create(s, ["caselist", "name"], s.where("state is not null").select("id", "caselist", "name"))
 
 
 @query("q_k5_ledger", """
@@ -271,9 +271,6 @@ def _(spark, sf):
     return out.where((G.topic_status(F.col("starts"), F.col("ends"), TODAY) != "past") | (F.col("n_cards") > 0)).select("code", "n_cards")
 
 
-_BOX = "WITH m AS (SELECT DISTINCT id % 7 AS box_id, id AS card_id FROM cards WHERE id % 3 = 0)"
-
-
 @query("q_a21_box_counts", "SELECT bucket_id AS box, count(DISTINCT card_id) AS n FROM (SELECT card_id, lower(trim(bucket_id)) AS bucket_id FROM hf_buckets) WHERE bucket_id <> '' GROUP BY 1")
 def _(spark, sf):
     b = Corpus(spark, sf).table("hf_buckets").select("card_id", F.lower(F.trim("bucket_id")).alias("box")).where("box <> ''")
