@@ -22,9 +22,11 @@ DUP_JACCARD, TRIM_CONTAINMENT = 0.90, 0.95
 def shingle_hashes(norm: Column, k: int = SHINGLE) -> Column:
     """Distinct 64-bit hashes of all runs of k words; fewer words give an empty array."""
     w = X.word_list(norm, " ")
-    last = F.size(w) - F.lit(k)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(k)), " ")))
-    return F.when(last >= 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    n = F.greatest(F.size(w) - F.lit(k - 1), F.lit(0))
+    # k shifted copies side by side: nothing is computed again for each element, as it
+    # would be if the list of words were used inside the lambda
+    runs = F.arrays_zip(*(F.slice(w, F.lit(j + 1), n).alias(f"w{j}") for j in range(k)))
+    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))
 
 
 def universe(cards: DataFrame) -> DataFrame:
@@ -40,17 +42,18 @@ def _band_keys(shingles: pd.Series) -> pd.Series:
     a = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
     mix = np.uint64(0x9E3779B97F4A7C15)
-
-    def keys(hashes) -> list[int]:
-        x = np.asarray(hashes, dtype=np.int64).view(np.uint64)
-        mins = np.array([((x * a[k] + b[k]) >> np.uint64(16)).min() for k in range(BANDS * ROWS)], dtype=np.uint64)
-        out = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-        for r in range(ROWS):
-            out = (out ^ mins.reshape(BANDS, ROWS)[:, r]) * mix
-            out ^= out >> np.uint64(32)
-        return out.view(np.int64).tolist()
-
-    return shingles.map(keys)
+    sizes = shingles.map(len).to_numpy()
+    if not len(sizes):
+        return pd.Series([], dtype=object)
+    # one pass per hash over the shingles of the whole batch; no row is without a shingle
+    flat = np.concatenate(shingles.to_list()).view(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    mins = np.stack([np.minimum.reduceat((flat * a[k] + b[k]) >> np.uint64(16), starts) for k in range(BANDS * ROWS)])
+    out = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None] + np.uint64(1), len(sizes), axis=1)
+    for r in range(ROWS):
+        out = (out ^ mins[r::ROWS]) * mix
+        out ^= out >> np.uint64(32)
+    return pd.Series(list(np.ascontiguousarray(out.T).view(np.int64)))
 
 
 def candidate_pairs(cards: DataFrame) -> DataFrame:
@@ -101,7 +104,8 @@ def component_labels(pairs: DataFrame, stage: Stage) -> DataFrame:
 
 def _greedy(pairs: list[tuple[int, int]], cards: dict[int, dict]) -> list[tuple[int, int, str]]:
     """Merges of one component, in order of the pairs: each is judged on the texts and
-    citations of the two survivors at that time; the longer one survives."""
+    citations of the two survivors at that time; the longer one survives. Pairs of several
+    components may come together: they never meet."""
     parent = {c: c for c in cards}
     out = []
 
@@ -131,12 +135,15 @@ def _greedy(pairs: list[tuple[int, int]], cards: dict[int, dict]) -> list[tuple[
 
 def greedy_merges(cards: DataFrame, pairs: DataFrame, stage: Stage | None = None) -> DataFrame:
     """(survivor_id, absorbed_id, relation) of all merges. The loop depends on its order,
-    but components of the candidate graph never meet, so each is a task of its own."""
+    but components of the candidate graph never meet, so each is solved on its own; small ones
+    share a call."""
     stage = stage or Stage(cards.sparkSession, "dedup")
     labels = component_labels(pairs, stage)
+    share = F.pmod(F.xxhash64("component"), F.lit(1024)).alias("share")
+    labels = labels.select("card_id", share)
     edges = pairs.join(labels.toDF("a", "group"), "a").select("group", "a", "b")
     nodes = cards.join(labels, "card_id").select(
-        "component", "card_id", "n_tokens", "body_len", "shingles", X.cite_year_strict(F.col("cite")).alias("year"), X.author_tokens(F.col("cite")).alias("authors")
+        "share", "card_id", "n_tokens", "body_len", "shingles", X.cite_year_strict(F.col("cite")).alias("year"), X.author_tokens(F.col("cite")).alias("authors")
     )
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +154,7 @@ def greedy_merges(cards: DataFrame, pairs: DataFrame, stage: Stage | None = None
         merges = _greedy(list(zip(right.a.astype(int), right.b.astype(int), strict=True)), own)
         return pd.DataFrame(merges, columns=["survivor_id", "absorbed_id", "relation"])
 
-    return nodes.groupBy("component").cogroup(edges.groupBy("group")).applyInPandas(run, "survivor_id bigint, absorbed_id bigint, relation string")
+    return nodes.groupBy("share").cogroup(edges.groupBy("group")).applyInPandas(run, "survivor_id bigint, absorbed_id bigint, relation string")
 
 
 def final_map(merges: DataFrame, stage: Stage | None = None) -> DataFrame:
