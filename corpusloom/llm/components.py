@@ -98,8 +98,9 @@ def _merged(stage: Stage, star: DataFrame, bound: int, tag: str) -> tuple[DataFr
 
 
 def _contract(star: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(label, edges): the smallest root that each node met, and between its roots the
-    edges that remain."""
+    """(label, edges): the smallest root that each node met (a root meets itself), and
+    between its roots the edges that remain."""
+    star = star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
     label = star.groupBy("node").agg(F.min("root").alias("up"), F.count_distinct("root").alias("n"))
     several = label.where("n > 1").select("node", "up")
     rest = star.join(several, "node").where("root <> up").select(F.col("root").alias("node"), F.col("up").alias("root")).distinct()
@@ -131,8 +132,7 @@ def connected_components(edges: DataFrame, stage: Stage | None = None, bound: in
     out = star.select("node", F.col("root").alias("component"))
     for label in reversed(labels):
         top = out.select(F.col("node").alias("_n"), "component")
-        lower = label.join(top, label.up == F.col("_n"), "left").select("node", F.coalesce("component", "up").alias("component"))
-        out = lower.unionByName(top.join(label, F.col("_n") == label.node, "left_anti").select(F.col("_n").alias("node"), "component"))
+        out = label.join(top, label.up == F.col("_n"), "left").select("node", F.coalesce("component", "up").alias("component"))
         out = out.where("node <> component")
     roots = out.select(F.col("component").alias("node"), "component").distinct()
     return out.unionByName(roots)
