@@ -2,7 +2,8 @@
 
 Every accepted batch becomes one or more shards: the sketches of its distinct texts as a
 navigable graph (each node linked to the nearest ones that a beam search found when it was
-inserted, both ways, and to a few far ones), stored as one compact value. A new batch is
+inserted, both ways, to its neighbours in the order of a shared band key, and to a few far
+ones), stored as one compact value. A new batch is
 searched in all live shards by beam search, in blocks of queries; its own shard is among
 them. Small shards are merged on a schedule, from their own content, so no text of the
 history is read again. What the search finds is compared exactly elsewhere.
@@ -27,8 +28,8 @@ from .bitslice import RADIUS
 
 #: Rows of a shard (about 180 bytes each), and queries that one search task takes.
 SHARD_ROWS, QUERY_ROWS = 50_000, 20_000
-#: Links per node to near ones, far ones, and places in all.
-NEAR, FAR, LINKS = 8, 2, 16
+#: Nearest nodes searched for at insertion; links per node: far ones, neighbours in order, places in all.
+NEAR, FAR, ORDER, LINKS = 8, 2, 2, 18
 BEAM = 32
 #: Shards of one tier (sizes within a factor TIER) that are merged into one.
 TIER = 4
@@ -71,27 +72,44 @@ class Shard:
     def _insert_all(self) -> None:
         n, done = len(self.ids), 0
         rng = np.random.default_rng(7)
+        self._link_buckets()
         while done < n:
             upto = min(n, done + max(256, min(done, 8192)))
             new = np.arange(done, upto)
             if done:
                 beam = self.search(self.codes[new], self.bands[new], below=done)
-                near = np.where(beam < _FREE, (beam >> 1) & (2**_NODE - 1), -1)[:, :NEAR]
-                self.links[new, : near.shape[1]] = near
-                self.links[new, NEAR : NEAR + FAR] = rng.integers(0, done, (len(new), FAR))
-                self._link_back(np.repeat(new, near.shape[1]), near.ravel())
+                near = np.where(beam < _FREE, (beam >> 1) & (2**_NODE - 1), -1)[:, :NEAR].ravel()
+                self.links[new, :FAR] = rng.integers(0, done, (len(new), FAR))
+                source = np.repeat(new, len(near) // len(new))[near >= 0]
+                self._link(source, near[near >= 0])
             done = upto
 
-    def _link_back(self, source: np.ndarray, target: np.ndarray) -> None:
-        """Give each target the sources as further neighbours, the nearest ones kept."""
-        ok = target >= 0
-        source, target = source[ok], target[ok]
-        if not len(target):
+    def _link_buckets(self) -> None:
+        """Link nodes that follow each other under a band key and are close. The next and the
+        one before in order of nodes have places of their own, so that however many nodes are
+        equally near, a search that reaches one of them can walk to all."""
+        u, v = self.sorted_nodes[:-1], self.sorted_nodes[1:]
+        ok = (self.sorted_keys[:-1] == self.sorted_keys[1:]) & (u < v)
+        both = np.unique(u[ok] * np.int64(2**_NODE) + v[ok])
+        u, v = both >> _NODE, both & (2**_NODE - 1)
+        close = _distance(self.codes[u], self.codes[v]) <= RADIUS + 4
+        u, v = u[close], v[close]
+        after, before = np.full(len(self.ids), 2**_NODE, np.int64), np.full(len(self.ids), -1, np.int64)
+        np.minimum.at(after, u, v)
+        np.maximum.at(before, v, u)
+        self.links[:, FAR] = np.where(after < 2**_NODE, after, -1)
+        self.links[:, FAR + 1] = before
+        self._link(u, v)
+
+    def _link(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Make u and v neighbours of each other; every node keeps its nearest ones."""
+        if not len(u):
             return
-        touched = np.unique(target)
-        old = self.links[touched][:, [*range(NEAR), *range(NEAR + FAR, LINKS)]]
-        a = np.concatenate([target, np.repeat(touched, old.shape[1])])
-        b = np.concatenate([source, old.ravel().astype(np.int64)])
+        head = FAR + ORDER
+        touched = np.unique(np.concatenate([u, v]))
+        old = self.links[touched, head:].astype(np.int64)
+        a = np.concatenate([u, v, np.repeat(touched, old.shape[1])])
+        b = np.concatenate([v, u, old.ravel()])
         a, b = a[b >= 0], b[b >= 0]
         d = _distance(self.codes[a], self.codes[b])
         order = np.lexsort((b, d, a))
@@ -99,12 +117,10 @@ class Shard:
         fresh = np.ones(len(a), dtype=bool)
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         a, b = a[fresh], b[fresh]
-        start = np.searchsorted(a, a, side="left")
-        place = np.arange(len(a)) - start
-        keep = place < LINKS - FAR
-        a, b, place = a[keep], b[keep], place[keep]
-        self.links[touched[:, None], [*range(NEAR), *range(NEAR + FAR, LINKS)]] = -1
-        self.links[a, np.where(place < NEAR, place, place + FAR)] = b
+        place = np.arange(len(a)) - np.searchsorted(a, a, side="left")
+        keep = place < LINKS - head
+        self.links[touched, head:] = -1
+        self.links[a[keep], place[keep] + head] = b[keep]
 
     def entries(self, bands: np.ndarray, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs where beams start: of each shared band key the first and last node."""

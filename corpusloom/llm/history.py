@@ -45,7 +45,7 @@ def first_accepted(records: DataFrame, stage: Stage | None = None, index: str |
     reps = classes(features, "record_id", F.min_by("batch_no", "record_id").alias("batch_no"))
     reps = reps.select("rep", "batch_no", "s0", "s1", "bands")
     reps.write.partitionBy("batch_no").parquet(stage.path("reps"))
-    reps = spark.read.parquet(stage.path("reps"))
+    reps = spark.read.schema("rep bigint, s0 bigint, s1 bigint, bands array<bigint>, batch_no int").parquet(stage.path("reps"))
     history = HistoryIndex(spark, index or stage.path("index"))
     batches = sorted((r["batch_no"], r["count"]) for r in reps.groupBy("batch_no").count().collect())  # one row per batch
     for k, (number, size) in enumerate(batches):
