@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..plans.registry import Query
+from .sql import SQL
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
+        if name in SQL:
+            ORACLE[name] = SQL[name]
         return fn
 
     return add
