@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.staging import Stage
+
 # Fidelity, from least to most trusted.
 TRUST = ("cites_only", "private", "pdf", "opensource")
 #: Value classes of a field; the graph that reaches the driver has at most CLASSES ** 2 edges.
@@ -108,25 +110,34 @@ def precedence_levels(votes: list[tuple[int, int, int]]) -> dict[int, int]:
     return {a: level[component[a]] for a in nodes}
 
 
-def learn_precedence(rows: DataFrame, fields: list[Field], key: str, at: str) -> dict[str, dict[int, int]]:
+def _narrow(rows: DataFrame, fields: list[Field], key: str, id_col: str, at: str, trust: str) -> DataFrame:
+    """Key, id, time and trust with, per field, its value class where usable, else null. The
+    long values are looked at once, here."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, TRUST)), F.col(trust)), F.lit(0)).cast("int")
+    cells = [F.when(F.coalesce(f.usable, F.lit(False)), F.coalesce(f.value_class.cast("int"), F.lit(-1))).alias(f"c{k}") for k, f in enumerate(fields)]
+    return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(at).alias("at"), rank.alias("trust"), *cells)
+
+
+def learn_precedence(narrow: DataFrame, fields: list[Field]) -> list[dict[int, int]]:
     """Levels of the value classes of each field, learned from all rows with a timestamp."""
-    timed = rows.where(F.col(at).isNotNull() & F.col(key).isNotNull())
-    seen = F.array(*(F.when(f.usable, F.struct(F.lit(k).alias("f"), f.value_class.cast("int").alias("c"))) for k, f in enumerate(fields)))
+    seen = F.array(*(F.when(F.col(f"c{k}").isNotNull(), F.struct(F.lit(k).alias("f"), F.col(f"c{k}").alias("c"))) for k in range(len(fields))))
     spans = (
-        timed.select(key, at, F.explode(F.array_compact(seen)).alias("v"))
-        .groupBy(key, "v.f", "v.c").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-        .groupBy(key, "f").agg(F.collect_list(F.struct("c", "first", "last")).alias("s"))  # at most CLASSES entries
+        narrow.where(F.col("at").isNotNull()).select("key", "at", F.explode(F.array_compact(seen)).alias("v"))
+        .groupBy("key", "v.f", "v.c").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        .groupBy("key", "f").agg(F.collect_list(F.struct("c", "first", "last")).alias("s"))  # at most CLASSES + 1 entries
         .where(F.size("s") > 1)
     )
     pairs = spans.select("f", F.explode("s").alias("a"), "s").select("f", "a", F.explode("s").alias("b"))
     votes = pairs.where(F.col("a.last") < F.col("b.first")).groupBy("f", F.col("a.c").alias("x"), F.col("b.c").alias("y")).count()
-    by: dict[str, list[tuple[int, int, int]]] = {f.name: [] for f in fields}
-    for r in votes.collect():  # at most len(fields) * CLASSES ** 2 rows
-        by[fields[r["f"]].name].append((r["x"], r["y"], r["count"]))
-    return {name: precedence_levels(v) for name, v in by.items()}
+    by: list[list[tuple[int, int, int]]] = [[] for _ in fields]
+    for r in votes.collect():  # at most len(fields) * (CLASSES + 1) ** 2 rows
+        by[r["f"]].append((r["x"], r["y"], r["count"]))
+    return [precedence_levels(v) for v in by]
 
 
-def best_fields(rows: DataFrame, fields: list[Field], key: str = "canonical_key", id_col: str = "id", at: str = "updated_at", trust: str = "fidelity") -> DataFrame:
+def best_fields(
+    rows: DataFrame, fields: list[Field], key: str = "canonical_key", id_col: str = "id", at: str = "updated_at", trust: str = "fidelity", stage: Stage | None = None
+) -> DataFrame:
     """(key, field, id): of each group of two or more rows and each field, the row whose
     value survives; nothing for a field without a usable value.
 
@@ -136,19 +147,20 @@ def best_fields(rows: DataFrame, fields: list[Field], key: str = "canonical_key"
     usability is none; repeated rows are versions like any other; extra columns are ignored;
     an empty table gives an empty result.
     """
-    levels = learn_precedence(rows, fields, key, at)
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, TRUST)), F.col(trust)), F.lit(0))
+    stage = stage or Stage(rows.sparkSession, "survivors")
+    narrow = stage.write(_narrow(rows, fields, key, id_col, at, trust), "narrow")
+    levels = learn_precedence(narrow, fields)
     picks = []
-    for f in fields:
+    for k, f in enumerate(fields):
+        c = F.col(f"c{k}")
         level = F.lit(-1)
-        for c, n in sorted(levels[f.name].items()):
-            level = F.when(f.value_class == c, F.lit(n)).otherwise(level)
+        for value, n in sorted(levels[k].items()):
+            level = F.when(c == value, F.lit(n)).otherwise(level)
         order = F.struct(
-            (rank if f.by_trust else F.lit(0)).cast("int").alias("t"), F.col(at).isNotNull().alias("k"), F.col(at).alias("u"),
-            F.coalesce(level, F.lit(-1)).alias("l"), (-F.col(id_col)).alias("i"),
+            (F.col("trust") if f.by_trust else F.lit(0)).alias("t"), F.col("at").isNotNull().alias("k"), F.col("at").alias("u"),
+            level.alias("l"), (-F.col("id")).alias("i"),
         )
-        picks.append(F.max_by(F.col(id_col), F.when(f.usable, order)).alias(f.name))
-    # a struct ordering must not be null where usable is false: max_by skips null orderings
-    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *picks).where("_n > 1")
+        picks.append(F.max_by("id", F.when(c.isNotNull(), order)).alias(f.name))  # a null order is passed over
+    best = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *picks).where("_n > 1")
     entries = F.explode(F.array(*(F.struct(F.lit(f.name).alias("field"), F.col(f.name).alias("id")) for f in fields)))
-    return best.select(key, entries.alias("e")).select(key, "e.field", F.col("e.id").alias(id_col)).where(F.col(id_col).isNotNull())
+    return best.select(F.col("key").alias(key), entries.alias("e")).select(key, "e.field", F.col("e.id").alias(id_col)).where(F.col(id_col).isNotNull())
