@@ -43,7 +43,9 @@ class Corpus:
 
     @cached_property
     def disclosures(self) -> DataFrame:
-        return D.disclosures(self.variants, self.rounds, self.table("teams"), self.table("schools"))
+        # of the rounds only what the chain shows, so that no other column is read to tell repeats apart
+        rounds = D.unique_rounds(self.table("rounds", "id", "team_id", "side", "tournament", "round_date", "topic_id"))
+        return D.disclosures(self.variants, rounds, self.table("teams"), self.table("schools"))
 
     @cached_property
     def totals(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ingest import external_number
 from ..sources import files as L, shards as H
+from ..sources.export import export_boxes
 from ..streaming import windows as W
 from ..streaming.ingest import ingest_stream
 from .corpus import Corpus
@@ -82,6 +83,15 @@ def _(spark, sf):
     return L.cites_only(rows).select(F.col("round_id").alias("record_id"), "is_analytic", "ordinal")
 
 
+@query("q_s8_docx_round_trip", sql("SELECT card_id, list_aggregate(regexp_extract_all(tag, '[^\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+'), 'string_agg', ' ') AS tag FROM cards2 WHERE tag IS NOT NULL", "variant"))
+def _(spark, sf):
+    """Every card written to a file of its own and read back."""
+    cards = Corpus(spark, sf).cards.where("tag is not null").select(F.col("card_id").alias("box_id"), F.lit(0).alias("place"), "tag", "cite", "fullcite", "body_text")
+    files = export_boxes(cards.withColumns({c: F.lit(None).cast("string") for c in ("markup_html", "pocket", "hat", "block")}))
+    files = files.select(F.concat(F.col("box_id").cast("string"), F.lit(".docx")).alias("path"), "content", F.sha2("content", 256).alias("sha256"))
+    return L.parse_files(files).select(F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("card_id"), "tag")
+
+
 # --- streams ------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import udtf
 
 from .documents import CARD_DDL, FIELDS, cards_of_file
 
@@ -59,6 +60,17 @@ def parse_files(files: DataFrame, fidelity: str | None = None) -> DataFrame:
     return files.select("path", "content", "sha256").mapInPandas(run, _FILE_DDL)
 
 
+@udtf(returnType=f"status string, error string, {CARD_DDL}")
+class ParseCardFile:
+    """parse_card_file(path, content) for SQL: rows as of ``parse_files``. Register with
+    ``spark.udtf.register("parse_card_file", ParseCardFile)``."""
+
+    def eval(self, path: str, content: bytes) -> Iterator[tuple]:
+        status, error, cards = cards_of_file(path, content)
+        for card in cards or [dict.fromkeys(FIELDS)]:
+            yield (status, error, *(card[f] for f in FIELDS))
+
+
 def provenance(path: Column) -> tuple[Column, Column]:
     """(school, team) from the folders of an entry; a flat archive tells nothing."""
     inner = F.element_at(F.split(path, "!"), -1)

@@ -1,7 +1,9 @@
 """Incremental ingest: records arrive as a stream, cards and variants are kept up to date.
 
-Every micro-batch is merged by key, so one that is delivered again after a failure changes
-nothing. Tables are versioned folders; the pointer to the current version moves last.
+The sink is a log: every micro-batch is mapped and appended as a folder of its own, under
+its number, so a batch that is delivered again replaces itself and none costs more than its
+own rows. What is current (the latest version of each external id, and the cards and
+variants that follow) is a view over the log; ``compact`` folds the log into one folder.
 """
 
 from __future__ import annotations
@@ -13,28 +15,40 @@ from ..plans.staging import Stage
 
 
 class CorpusSink:
-    """Cards and variants of all batches so far, in a folder."""
+    """Records of all batches so far, in a folder, with the tables derived from them."""
 
     def __init__(self, spark: SparkSession, stage: Stage):
-        self.spark, self.stage, self.version = spark, stage, -1
-
-    def read(self, table: str) -> DataFrame | None:
-        return None if self.version < 0 else self.spark.read.parquet(self.stage.path(f"{table}/v={self.version}"))
+        self.spark, self.stage = spark, stage
+        self.parts: dict[str, str] = {}
 
     def merge(self, records: DataFrame, batch: int) -> None:
-        """Take in a batch: the latest version of each external id counts, cards follow from
-        the rows that are left, so a card that lost its last row is gone."""
-        rows = I.map_records(records)
-        known = self.read("rows")
-        if known is not None:
-            rows = known.unionByName(rows.join(known.select("record_id"), "record_id", "left_anti"))
-        rows = I.latest_versions(rows, I.external_number(F.col("external_id")))
-        target = self.stage.path(f"rows/v={batch}")
-        rows.write.mode("overwrite").parquet(target)
-        rows = self.spark.read.parquet(target)
-        I.canonical_cards(rows).write.mode("overwrite").parquet(self.stage.path(f"cards/v={batch}"))
-        I.attach_variants(rows).select("record_id", "canonical_key", "round_id", "ordinal").write.mode("overwrite").parquet(self.stage.path(f"variants/v={batch}"))
-        self.version = batch
+        """Take in a batch."""
+        name = f"log/batch={batch}"
+        I.map_records(records).write.mode("overwrite").parquet(self.stage.path(name))
+        self.parts[f"batch={batch}"] = self.stage.path(name)
+
+    def compact(self) -> None:
+        """Fold the log into one folder of current rows; the old folders go afterwards."""
+        old = dict(self.parts)
+        name = f"log/folded={len(old)}-{max(old)}"
+        self.rows().write.mode("overwrite").parquet(self.stage.path(name))
+        self.parts = {"folded": self.stage.path(name)}
+        for path in old.values():
+            self.stage.drop(path.removeprefix(self.stage.root + "/"))
+
+    def rows(self) -> DataFrame:
+        """Current rows: each record once, of each external id the latest version."""
+        # each folder is read by its own path, so the names of the folders add no column
+        log = None
+        for path in self.parts.values():
+            part = self.spark.read.parquet(path)
+            log = part if log is None else log.unionByName(part)
+        return I.latest_versions(log.dropDuplicates(["record_id"]), I.external_number(F.col("external_id")))
+
+    def read(self, table: str) -> DataFrame:
+        """rows, cards or variants as they stand."""
+        rows = self.rows()
+        return {"rows": lambda: rows, "cards": lambda: I.canonical_cards(rows), "variants": lambda: I.attach_variants(rows)}[table]()
 
 
 def ingest_stream(spark: SparkSession, source: str, schema, stage: Stage, files_per_batch: int = 1) -> CorpusSink:

@@ -180,6 +180,37 @@ def test_archive(spark, tmp_path):
     assert cards.where("status = 'failed'").count() == 2
 
 
+@pytest.mark.parametrize("preset", ["house", "verbatim"])
+@pytest.mark.parametrize("colour", ["green", "yellow", "blue", "turquoise"])
+def test_round_trip(preset, colour):
+    from corpusloom.sources.export import write_docx
+
+    body = f"{BODY} café &amp; <tag>\nSecond  paragraph, read in part.\n{BODY}"
+    markup = body.replace("&", "&amp;").replace("<", "&lt;").replace("Second", "<mark>Second").replace("paragraph,", "paragraph,</mark>").replace("read in", "<u>read in</u>").replace("\n", "<br>")
+    cards = [
+        {"tag": "First tag", "cite": "Kessler ’26", "fullcite": "Dana Kessler, analyst, 2026, https://x.example/a", "body_text": body, "markup_html": markup, "pocket": "1AC", "block": "Economy"},
+        {"tag": "Second tag", "cite": "Doe 19", "fullcite": "Jo Doe, 2019, https://x.example/b", "body_text": BODY, "markup_html": None, "pocket": "1AC", "block": "Economy"},
+        {"tag": "Only a tag", "pocket": "1AC", "hat": "Case", "block": None},
+    ]
+    a, b, c = W.docx_cards(write_docx(cards, preset, colour))
+    assert (a["tag"], a["cite"], a["fullcite"], a["body_text"]) == ("First tag", "Kessler ’26", cards[0]["fullcite"], body)
+    assert (a["spoken"], a["summary"]) == ("Second paragraph,", "Second paragraph, read in")
+    assert (b["pocket"], b["block"], b["body_text"]) == ("1AC", "Economy", BODY)
+    assert c["is_analytic"] and (c["hat"], c["block"]) == ("Case", None)
+
+
+def test_export_and_parse_by_spark(spark):
+    from corpusloom.sources.export import export_boxes
+
+    rows = [(1, k, f"Tag {k}", "Doe 19", "Jo Doe, 2019, https://x.example/b", BODY, None, None, None, None) for k in range(3)] + [(2, 0, "T", None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "box_id bigint, place int, tag string, cite string, fullcite string, body_text string, markup_html string, pocket string, hat string, block string")
+    files = export_boxes(df).withColumn("path", F.concat(F.lit("a/b/"), F.col("box_id").cast("string"), F.lit(".docx")))
+    spark.udtf.register("parse_card_file", L.ParseCardFile)
+    files.createOrReplaceTempView("card_files")
+    got = spark.sql("select f.box_id, c.tag, c.body_text from card_files f, lateral parse_card_file(f.path, f.content) c").collect()
+    assert sorted((r.box_id, r.tag, r.body_text or "") for r in got) == [(1, f"Tag {k}", BODY) for k in range(3)] + [(2, "T", "")]
+
+
 def test_disagreements(spark):
     pairs = spark.createDataFrame([(1, 2), (5, 6)], "a bigint, b bigint")
     buckets = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (5, "y"), (6, "z"), (7, None)], "card_id bigint, bucket_id string")
