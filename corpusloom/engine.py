@@ -58,14 +58,16 @@ class Engine:
 
     # -- search -----------------------------------------------------------------------
 
-    def tables(self) -> Tables:
+    def tables(self, cache: bool = True) -> Tables:
+        """What search reads, made once; with ``cache`` kept in memory as far as it fits."""
         if self._tables is None:
             c = self.corpus
             cards = c.totals.join(c.card_topics, "card_id").join(A.events_of_cards(c.cards, c.disclosures), "card_id")
             rows = index_rows(c.cards, c.variants)
             cards = self.stage.write(cards.join(rows.select("card_id", "block"), "card_id"), "cards")
             disclosures = self.stage.write(c.disclosures, "disclosures")
-            self._tables = Tables(cards, disclosures, c.topics, TextIndex.build(rows, self.stage))
+            index = TextIndex.build(rows, self.stage)
+            self._tables = Tables(cards.persist(), disclosures.persist(), c.topics.persist(), index.cached()) if cache else Tables(cards, disclosures, c.topics, index)
         return self._tables
 
     def search(self, text: str, today: str, limit: int = 30, offset: int = 0, dialect: str = "engine") -> Result:

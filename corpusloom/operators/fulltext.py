@@ -8,7 +8,6 @@ card in tokens. Ranking touches postings alone; texts are joined to the page tha
 from __future__ import annotations
 
 import html
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -74,6 +73,11 @@ class TextIndex:
         n, total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         return cls(postings, lengths, n, total / n if n else 0.0, stem)
 
+    def cached(self) -> TextIndex:
+        """The same index held in memory (and on disk beyond it) for repeated searches."""
+        self.postings, self.lengths = self.postings.persist(), self.lengths.persist()
+        return self
+
     def phrases(self, terms: Sequence[Term]) -> list[tuple[list[str], str | None]]:
         analyze = Analyzer(self.stem)
         return [(analyze(t.text), t.column) for t in terms]
@@ -118,20 +122,23 @@ class TextIndex:
         n = len(phrases)
         if not n:
             return hits.select("card_id", F.lit(0.0).alias("score")).where(F.lit(False))
-        having = hits.agg(*(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(n))).first()
-        length = self.lengths
+        # how many rows each phrase is in: one row, joined to the hits within the same plan
+        having = hits.agg(*(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(n)))
         score = F.lit(0.0)
         for k in range(n):
-            idf = math.log((self.rows - having[k] + 0.5) / (having[k] + 0.5)) if self.rows else 0.0
+            rows, in_ = F.lit(float(self.rows)), F.col(f"n{k}")
+            idf = F.when(in_ * 2 < rows, F.ln((rows - in_ + 0.5) / (in_ + 0.5))).otherwise(F.lit(LEAST_IDF))
             tf = F.col(f"f{k}")
             norm = K1 * (1 - B) + K1 * B * F.col("length") / (self.mean_length or 1.0)
-            score = score + F.lit(idf if idf > 0 else LEAST_IDF) * tf * (K1 + 1) / (tf + norm)
+            score = score + idf * tf * (K1 + 1) / (tf + norm)
+        length = self.lengths
         test = F.lit(True)
         for k in range(n):
             test = test & (F.col(f"f{k}") > 0)
         for k in range(n, n + len(against)):
             test = test & (F.col(f"f{k}") == 0)
-        return hits.where(test).join(length, "card_id").select("card_id", (-score).alias("score"))
+        found = hits.where(test).join(length, "card_id").crossJoin(F.broadcast(having))
+        return found.select("card_id", (-score).alias("score"))
 
     def any_of(self, terms: Sequence[Term]) -> DataFrame:
         """Cards with at least one of the terms."""

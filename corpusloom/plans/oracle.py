@@ -42,7 +42,7 @@ mapped AS (
   FROM kinds)"""
 _CARDS = """
 card AS (
-  SELECT canonical_key, min(record_id) AS card_id, arg_min(tag, record_id) FILTER (tag IS NOT NULL OR true) AS tag0,
+  SELECT canonical_key, min(record_id) AS card_id,
     min(record_id) FILTER (source_url IS NOT NULL) AS u, min(record_id) FILTER (source_pub_date IS NOT NULL) AS d, min(record_id) FILTER (fullcite IS NOT NULL) AS f
   FROM mapped WHERE canonical_key IS NOT NULL GROUP BY 1),
 cards2 AS (
@@ -73,4 +73,4 @@ total AS (
 def corpus(body: str, upto: str = "total") -> str:
     """``body`` over the derived tables mapped, cards2, variant, round1, disc and total."""
     parts = {"mapped": 1, "variant": 2, "disc": 3, "total": 4}[upto]
-    return "WITH " + ",".join([_RECORDS, _CARDS.replace(", arg_min(tag, record_id) FILTER (tag IS NOT NULL OR true) AS tag0", ""), _DISC, _TOTALS][:parts]) + "\n" + body
+    return "WITH " + ",".join([_RECORDS, _CARDS, _DISC, _TOTALS][:parts]) + "\n" + body

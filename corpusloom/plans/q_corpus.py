@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as X
 from ..operators import analytics as A, filters as P, ingest as I, topics as G
 from .corpus import Corpus
-from .oracle import corpus as sql, norm, strip
+from .oracle import corpus as sql, norm
 from .registry import query
 
 TODAY = "2024-10-15"
@@ -114,7 +114,7 @@ def _(spark, sf):
 
 @query("q_k6_changed_rows", sql("""
 , latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ltrim(regexp_extract(external_id, '(\\d+)\\D*$', 1), '0') ORDER BY received_at DESC NULLS LAST, record_id DESC) AS rn FROM mapped) WHERE rn = 1)
-SELECT canonical_key, count(*) AS n_variants FROM latest WHERE canonical_key IS NOT NULL GROUP BY 1""", "mapped").replace("\n\n, latest", ", latest"))
+SELECT canonical_key, count(*) AS n_variants FROM latest WHERE canonical_key IS NOT NULL GROUP BY 1""", "mapped"))
 def _(spark, sf):
     m = Corpus(spark, sf).mapped
     now = I.latest_versions(m, I.external_number(F.col("external_id")))
@@ -281,7 +281,7 @@ def _(spark, sf):
 , mem AS (SELECT DISTINCT team_id AS box_id, card_id FROM variant WHERE team_id IS NOT NULL),
 sp AS (SELECT card_id, arg_min(spoken, record_id) AS spoken FROM variant WHERE spoken <> '' GROUP BY 1),
 agg AS (SELECT box_id, count(*) AS n_cards, coalesce(sum(len(list_filter(string_split_regex(coalesce(sp.spoken, ''), '[\\s\\x{a0}]+'), lambda x: x <> ''))), 0)::BIGINT AS n_words FROM mem LEFT JOIN sp USING (card_id) GROUP BY 1)
-SELECT t.id AS box_id, coalesce(n_cards, 0) AS n_cards, coalesce(n_words, 0) AS n_words FROM teams t LEFT JOIN agg ON agg.box_id = t.id""", "variant").replace("\n\n, mem", ", mem"))
+SELECT t.id AS box_id, coalesce(n_cards, 0) AS n_cards, coalesce(n_words, 0) AS n_words FROM teams t LEFT JOIN agg ON agg.box_id = t.id""", "variant"))
 def _(spark, sf):
     c = Corpus(spark, sf)
     members = c.variants.where("team_id is not null").select(F.col("team_id").alias("box_id"), "card_id").distinct()
@@ -325,7 +325,7 @@ def _(spark, sf):
 @query("q_j9_answers", sql(f"""
 , b AS (SELECT DISTINCT card_id, block FROM variant WHERE block IS NOT NULL), about AS (SELECT DISTINCT card_id, {_ABOUT} AS key FROM b),
 target AS (SELECT DISTINCT card_id AS answer_id, {_TARGET} AS key FROM b)
-SELECT DISTINCT card_id, answer_id FROM (SELECT a.card_id, t.answer_id, row_number() OVER (PARTITION BY a.card_id, a.key ORDER BY t.answer_id) AS r FROM about a JOIN target t USING (key) WHERE key IS NOT NULL AND a.card_id <> t.answer_id) WHERE r <= 25""", "variant").replace("\n\n, b AS", ", b AS"))
+SELECT DISTINCT card_id, answer_id FROM (SELECT a.card_id, t.answer_id, row_number() OVER (PARTITION BY a.card_id, a.key ORDER BY t.answer_id) AS r FROM about a JOIN target t USING (key) WHERE key IS NOT NULL AND a.card_id <> t.answer_id) WHERE r <= 25""", "variant"))
 def _(spark, sf):
     return A.answers(Corpus(spark, sf).variants)
 
@@ -365,9 +365,6 @@ def _(spark, sf):
 
 # --- filters ------------------------------------------------------------------------------
 
-_TOPIC_IDS = "(SELECT id FROM topics WHERE {0})"
-
-
 def _filter(name: str, where: str, apply, upto: str = "total"):
     @query(name, sql(f"SELECT c.card_id FROM total c WHERE {where}", upto))
     def _(spark, sf):
@@ -386,7 +383,8 @@ _filter("q_f4_side", _disc("d.side = 'C'"), lambda c, t: P.by_side(t, c.disclosu
 _filter("q_f5_school", _disc("(contains(lower(d.school_name), 'gra') OR contains(lower(d.school_display), 'gra'))"), lambda c, t: P.by_school(t, c.disclosures, "Gra"))
 _filter("q_f6_team", _disc("(contains(lower(d.team_name), 'do') OR contains(lower(d.team_display), 'do'))"), lambda c, t: P.by_team(t, c.disclosures, "DO"))
 _filter("q_f7_cite", "contains(lower(c.cite), 'lu') OR contains(lower(c.fullcite), 'lu')", lambda c, t: P.by_cite(t, "Lu"))
-_filter("q_f8_year", "CASE WHEN length(y) = 4 THEN y[3:4] ELSE lpad(y, 2, '0') END = '17'".replace("y", "list_filter(regexp_extract_all(c.cite, '\\d+'), lambda x: length(x) IN (1, 2, 4))[-1]", 3).replace("ELSE lpad(y", "ELSE lpad(list_filter(regexp_extract_all(c.cite, '\\d+'), lambda x: length(x) IN (1, 2, 4))[-1]"), lambda c, t: P.by_year(t, "17"))
+_LAST = "list_filter(regexp_extract_all(c.cite, '\\d+'), lambda x: length(x) IN (1, 2, 4))[-1]"
+_filter("q_f8_year", f"CASE WHEN length({_LAST}) = 4 THEN {_LAST}[3:4] ELSE lpad({_LAST}, 2, '0') END = '17'", lambda c, t: P.by_year(t, "17"))
 _FLOOR = "CASE length(c.source_pub_date) WHEN 4 THEN c.source_pub_date || '-01-01' WHEN 7 THEN c.source_pub_date || '-01' ELSE c.source_pub_date END"
 _filter("q_f9_before", f"c.source_pub_date <> '' AND {_FLOOR} < '2018-01-01'", lambda c, t: P.before(t, "2018"))
 _filter("q_f10_after", f"c.source_pub_date <> '' AND {_FLOOR.replace('-01-01', '-12-31').replace(chr(39) + '-01' + chr(39), chr(39) + '-31' + chr(39))} >= '2020-06-01'", lambda c, t: P.after(t, "2020-06"))
@@ -455,13 +453,13 @@ def _rounds(c: Corpus):
     return c.rounds.join(t, "team_id", "left").join(s, "school_id", "left").select("id", "round_date", "tournament", "season")
 
 
-@query("q_j6_topic_by_date", sql(_SEASONED + _BYDATE + " SELECT * FROM bydate", "disc").replace("\n, rs", ", rs"))
+@query("q_j6_topic_by_date", sql(_SEASONED + _BYDATE + " SELECT * FROM bydate", "disc"))
 def _(spark, sf):
     c = Corpus(spark, sf)
     return G.by_date(_rounds(c), c.topics)
 
 
-@query("q_j7_topic_by_override", sql(_SEASONED + _BYOVER + " SELECT * FROM byover", "disc").replace("\n, rs", ", rs"))
+@query("q_j7_topic_by_override", sql(_SEASONED + _BYOVER + " SELECT * FROM byover", "disc"))
 def _(spark, sf):
     c = Corpus(spark, sf)
     return G.by_override(_rounds(c), _overrides(spark), c.topics)
@@ -472,7 +470,7 @@ def _(spark, sf):
     return G.distinctive_keywords(Corpus(spark, sf).topics)
 
 
-@query("q_g3_topic_by_keyword", sql(_SEASONED + _BYWORD + " SELECT * FROM byword", "disc").replace("\n, rs", ", rs"))
+@query("q_g3_topic_by_keyword", sql(_SEASONED + _BYWORD + " SELECT * FROM byword", "disc"))
 def _(spark, sf):
     c = Corpus(spark, sf)
     return G.by_keyword(_rounds(c), c.variants, c.topics)
@@ -480,7 +478,7 @@ def _(spark, sf):
 
 @query("q_g1_assign_topics", sql(_SEASONED + _BYDATE + _BYOVER + _BYWORD + """ SELECT rs.id, coalesce(a.topic_id, b.topic_id, w.topic_id) AS topic_id,
 CASE WHEN a.topic_id IS NOT NULL THEN 'date' WHEN b.topic_id IS NOT NULL THEN 'override' WHEN w.topic_id IS NOT NULL THEN 'keyword' ELSE 'none' END AS method
-FROM rs LEFT JOIN bydate a USING (id) LEFT JOIN byover b USING (id) LEFT JOIN byword w USING (id)""", "disc").replace("\n, rs", ", rs"))
+FROM rs LEFT JOIN bydate a USING (id) LEFT JOIN byover b USING (id) LEFT JOIN byword w USING (id)""", "disc"))
 def _(spark, sf):
     c = Corpus(spark, sf)
     return G.assign_topics(_rounds(c), c.variants, c.topics, _overrides(spark))
@@ -488,7 +486,7 @@ def _(spark, sf):
 
 @query("q_g4_assign_stats", sql(_SEASONED + _BYDATE + _BYOVER + _BYWORD + """ SELECT method, count(*) AS n FROM (SELECT
 CASE WHEN a.topic_id IS NOT NULL THEN 'date' WHEN b.topic_id IS NOT NULL THEN 'override' WHEN w.topic_id IS NOT NULL THEN 'keyword' ELSE 'none' END AS method
-FROM rs LEFT JOIN bydate a USING (id) LEFT JOIN byover b USING (id) LEFT JOIN byword w USING (id)) GROUP BY 1""", "disc").replace("\n, rs", ", rs"))
+FROM rs LEFT JOIN bydate a USING (id) LEFT JOIN byover b USING (id) LEFT JOIN byword w USING (id)) GROUP BY 1""", "disc"))
 def _(spark, sf):
     c = Corpus(spark, sf)
     return G.assign_topics(_rounds(c), c.variants, c.topics, _overrides(spark)).groupBy("method").agg(F.count(F.lit(1)).alias("n"))

@@ -97,7 +97,7 @@ def _(spark, sf):
 
 @query("q_z1_stream_ingest", sql("""
 , latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ltrim(regexp_extract(external_id, '(\\d+)\\D*$', 1), '0') ORDER BY received_at DESC NULLS LAST, record_id DESC) AS rn FROM mapped) WHERE rn = 1)
-SELECT canonical_key, min(record_id) AS card_id, count(*) AS n_rows FROM latest WHERE canonical_key IS NOT NULL GROUP BY 1""", "mapped").replace("\n\n, latest", ", latest"))
+SELECT canonical_key, min(record_id) AS card_id, count(*) AS n_rows FROM latest WHERE canonical_key IS NOT NULL GROUP BY 1""", "mapped"))
 def _(spark, sf):
     stage = Stage(spark, "stream")
     schema = Corpus(spark, sf).table("card_records").schema

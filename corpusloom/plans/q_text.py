@@ -274,7 +274,7 @@ def _(spark, sf):
 SELECT c.card_id, ratio_high, ratio_low, len(list_filter(string_split_regex(coalesce(c.body_text, ''), '[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+'), lambda x: x <> '')) AS n_words,
   len(regexp_extract_all(coalesce(c.body_text, ''), '\\[[^\\[\\]]*\\]')) AS n_brackets, len(regexp_extract_all(coalesce(c.body_text, ''), '…|\\.{{3,}}')) AS n_ellipses,
   round(CASE WHEN len({_content('c.tag')}) >= 3 AND len(r.sw) >= 3 THEN len(list_intersect({_content('c.tag')}, r.sw)) / len(list_distinct(list_concat({_content('c.tag')}, r.sw))) END, 6) AS overlap
-FROM cards2 c LEFT JOIN r USING (card_id)""", "variant").replace("\n\n, r AS", ", r AS"))
+FROM cards2 c LEFT JOIN r USING (card_id)""", "variant"))
 def _(spark, sf):
     c = Corpus(spark, sf)
     return S.measures(c.cards, c.variants).select("card_id", "ratio_high", "ratio_low", "n_words", "n_brackets", "n_ellipses", F.round("overlap", 6).alias("overlap"))
@@ -327,7 +327,7 @@ def _(spark, sf):
 @query("q_k12_published", sql("""
 , e AS (SELECT card_id, string_agg(DISTINCT caselist, ',' ORDER BY caselist) AS events FROM disc GROUP BY 1),
 rep AS (SELECT * FROM (SELECT card_id, pocket, hat, block, fidelity, row_number() OVER (PARTITION BY card_id ORDER BY coalesce(highlight_ratio, -1) DESC, record_id) AS rn FROM variant) WHERE rn = 1)
-SELECT c.card_id, c.team_count, r.pocket, r.hat, r.block, r.fidelity, coalesce(e.events, 'pf') AS events FROM total c LEFT JOIN rep r USING (card_id) LEFT JOIN e USING (card_id)""").replace("\n\n, e AS", ", e AS"))
+SELECT c.card_id, c.team_count, r.pocket, r.hat, r.block, r.fidelity, coalesce(e.events, 'pf') AS events FROM total c LEFT JOIN rep r USING (card_id) LEFT JOIN e USING (card_id)"""))
 def _(spark, sf):
     c = Corpus(spark, sf)
     p = B.published_cards(c.totals, c.variants, A.events_of_cards(c.cards, c.disclosures), c.card_topics)
@@ -337,7 +337,7 @@ def _(spark, sf):
 @query("q_k13_capped", sql("""
 , z AS (SELECT *, strlen(coalesce(body_text, '')) + strlen(coalesce(tag, '')) AS b FROM total),
 o AS (SELECT card_id, sum(b) OVER (ORDER BY team_count DESC, body_len DESC, card_id ROWS UNBOUNDED PRECEDING) AS run FROM z WHERE NOT is_analytic)
-SELECT card_id FROM o WHERE run <= (SELECT sum(b) // 3 FROM z)""").replace("\n\n, z AS", ", z AS"))
+SELECT card_id FROM o WHERE run <= (SELECT sum(b) // 3 FROM z)"""))
 def _(spark, sf):
     t = Corpus(spark, sf).totals
     size = B.row_bytes("body_text", "tag")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from datetime import date
 
 from ..functions.dateparse import MONTHS
 from ..functions.text import SHORT_CITES
@@ -56,14 +55,6 @@ def publication_date(text: str | None) -> str | None:
     return min(sound)[2] if sound else None
 
 
-def real_date(text: str) -> bool:
-    try:
-        date.fromisoformat(text)
-    except ValueError:
-        return False
-    return True
-
-
 def strong_fullcite(text: str | None) -> bool:
     """A paragraph short enough for a citation, with an address, a year or a mark of access."""
     return bool(text) and count_words(text) <= CITE_WORDS and bool(_URL.search(text) or _YEAR.search(text) or _ACCESS.search(text))
