@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ingest import number_rows
@@ -77,3 +79,25 @@ def disagreements(pairs: DataFrame, buckets: DataFrame) -> DataFrame:
 def numbered(cards: DataFrame, name: str = "place") -> DataFrame:
     """Cards with their place in the published order."""
     return number_rows(cards, ["card_id"], name)
+
+
+def site_stats(cards: DataFrame, disclosures: DataFrame) -> str:
+    """Counts of a published corpus as JSON, one row's worth."""
+    c = cards.agg(F.count_if(~F.col("is_analytic")).alias("cards"), F.count_if("is_analytic").alias("analytics"))
+    d = disclosures.agg(F.countDistinct("team_id").alias("teams"), F.countDistinct("school_id").alias("schools"), F.array_sort(F.collect_set("season")).alias("seasons"))
+    return c.crossJoin(d).select(F.to_json(F.struct("*"))).first()[0]
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Tab-separated, with a header."""
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def feed(cards: DataFrame, disclosures: DataFrame, title: str, link: str, n: int = 50) -> str:
+    """RSS of the ``n`` cards read last."""
+    latest = disclosures.groupBy("card_id").agg(F.max("round_date").alias("latest"))
+    top = latest.orderBy(F.desc_nulls_last("latest"), "card_id").limit(n).join(cards.select("card_id", "tag", "cite"), "card_id")
+    rows = top.orderBy(F.desc_nulls_last("latest"), "card_id").collect()  # at most ``n``
+    item = "<item><title>{}</title><link>{}/card/{}</link><guid>{}</guid><description>{}</description></item>"
+    items = "".join(item.format(escape(r["tag"] or ""), escape(link), r["card_id"], r["card_id"], escape(r["cite"] or "")) for r in rows)
+    return f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{escape(title)}</title><link>{escape(link)}</link>{items}</channel></rss>'

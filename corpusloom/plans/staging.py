@@ -10,7 +10,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +39,7 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
         self._gone = False
-        ref = weakref.ref(self)
-        atexit.register(lambda: (s := ref()) and s.clear())
-        _open.append(self)
+        atexit.register(self.clear)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -66,6 +63,3 @@ class Stage:
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session has ended
             pass
-
-
-_open: list[Stage] = []

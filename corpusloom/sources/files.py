@@ -23,6 +23,18 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.join(files.groupBy("sha256").agg(F.min("path").alias("path")), ["sha256", "path"], "left_semi")
 
 
+def store(files: DataFrame, path: str) -> None:
+    """Keep contents by their hash, in folders by its first two digits; what is there stays."""
+    prefix = F.substring("sha256", 1, 2).alias("prefix")
+    try:
+        held = files.sparkSession.read.parquet(path).select("sha256")
+        files = files.join(held, "sha256", "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    files.select("sha256", "path", "content", prefix).write.mode("append").partitionBy("prefix").parquet(path)
+
+
 def unzip(files: DataFrame) -> DataFrame:
     """Entries of zip archives that a reader may know; an entry that cannot be read comes
     out with null content."""

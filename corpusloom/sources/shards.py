@@ -14,10 +14,17 @@ BULK_COLUMNS = (
 BULK_SCHEMA = ", ".join(f"{c} {'bigint' if c == 'id' else 'string'}" for c in BULK_COLUMNS)
 
 
-def scan(spark: SparkSession, paths: Iterable[str], events: Iterable[str] = ("pf",), min_duplicates: int = 0) -> DataFrame:
+def scan(spark: SparkSession, paths: Iterable[str], events: Iterable[str] = ("pf",), min_duplicates: int = 0, limit: int | None = None) -> DataFrame:
     """Rows of the wanted events; a floor on duplicates holds for all events but pf. The
-    event filter reaches the parquet reader."""
-    return keep(spark.read.schema(BULK_SCHEMA).parquet(*paths), events, min_duplicates)
+    event filter reaches the parquet reader. ``limit`` is for a first look at the data and
+    counts rows before the filter."""
+    rows = spark.read.schema(BULK_SCHEMA).parquet(*paths)
+    return keep(rows if limit is None else rows.limit(limit), events, min_duplicates)
+
+
+def sample(spark: SparkSession, paths: Iterable[str], events: Iterable[str], share: float, seed: int = 1) -> DataFrame:
+    """A share of the rows of the wanted events, for development."""
+    return scan(spark, paths, events).sample(share, seed)
 
 
 def keep(rows: DataFrame, events: Iterable[str], min_duplicates: int = 0) -> DataFrame:

@@ -41,6 +41,12 @@ def test_merge_or_not(spark):
     assert _merges(spark, [(1, "A '13", TEXT), (2, "A '13", TEXT), (3, "A '13", TEXT)]) == [(1, 2, "dup"), (1, 3, "dup")]
 
 
+def test_second_run_merges_nothing(spark):
+    rows = [(1, "A '13", TEXT), (2, "A '13", TEXT.replace("item30", "x")), (3, "B 14", TEXT[::-1])]
+    gone = {m[1] for m in _merges(spark, rows)}
+    assert len(gone) == 1 and _merges(spark, [r for r in rows if r[0] not in gone]) == []
+
+
 def test_merges_end_at_the_survivor(spark):
     merges = spark.createDataFrame([(2, 1, "dup"), (3, 2, "dup"), (4, 3, "trim")], "survivor_id bigint, absorbed_id bigint, relation string")
     assert sorted(map(tuple, D.final_map(merges).collect())) == [(1, 4), (2, 4), (3, 4)]
@@ -211,6 +217,65 @@ def test_export_and_parse_by_spark(spark):
     assert sorted((r.box_id, r.tag, r.body_text or "") for r in got) == [(1, f"Tag {k}", BODY) for k in range(3)] + [(2, "T", "")]
 
 
+def test_small_sinks(spark, tmp_path):
+    import json
+
+    cards = spark.createDataFrame([(1, "a <b>", "A '13", False), (2, "c", None, True)], "card_id bigint, tag string, cite string, is_analytic boolean")
+    read = spark.createDataFrame([(1, 7, 3, 2021, "2021-09-01"), (2, 7, 3, 2022, None)], "card_id bigint, team_id bigint, school_id bigint, season int, round_date string")
+    assert json.loads(P.site_stats(cards, read)) == {"cards": 1, "analytics": 1, "teams": 1, "schools": 1, "seasons": [2021, 2022]}
+    shown = P.feed(cards, read, "T & co", "https://x.example")
+    assert shown.count("<item>") == 2 and "a &lt;b&gt;" in shown and shown.index("a &lt;b") < shown.index("<title>c")
+    P.write_report(cards, str(tmp_path / "r"))
+    assert spark.read.csv(str(tmp_path / "r"), sep="\t", header=True).count() == 2
+    (tmp_path / "in").mkdir()
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / "in" / name).write_text("same")
+    for _ in range(2):
+        L.store(L.read_files(spark, str(tmp_path / "in")), str(tmp_path / "blobs"))
+    assert spark.read.parquet(str(tmp_path / "blobs")).count() == 1
+
+
+def test_listing_source(spark, tmp_path):
+    from corpusloom.sources.api import ListingSource
+
+    (tmp_path / "one.json").write_text('[{"name": "x"}, {"name": "y"}]')
+    spark.dataSource.register(ListingSource)
+    rows = spark.read.format("listing").option("base", str(tmp_path)).option("lists", "one, none").load().collect()
+    assert [(r.list, r.body) for r in rows] == [("one", '{"name": "x"}'), ("one", '{"name": "y"}')]
+
+
+def test_shards(spark, tmp_path):
+    from corpusloom.sources import shards as S
+
+    rows = spark.createDataFrame([(1, "pf", "0"), (2, "ld", "7"), (3, "ld", "x"), (4, None, "9")], "id bigint, event string, duplicateCount string")
+    full = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in S.BULK_COLUMNS))
+    full.coalesce(1).write.parquet(str(tmp_path / "s"))
+    assert sorted(r.id for r in S.scan(spark, [str(tmp_path / "s")], ("pf", "ld"), 5).collect()) == [1, 2]
+    assert len(S.shards_of(S.census(spark, [str(tmp_path / "s")]), ["ld"])) == 1
+    assert S.scan(spark, [str(tmp_path / "s")], ("ld",), limit=4).count() == 2 and S.sample(spark, [str(tmp_path / "s")], ("ld",), 1.0).count() == 2
+    with pytest.raises(ValueError):
+        S.shards_of(rows.select("event", F.lit("x").alias("shard")).limit(0), ["pf"])
+
+
+def test_engine(spark, tmp_path):
+    from pathlib import Path
+
+    from corpusloom.engine import Engine, register
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    engine = Engine(spark, str(folder))
+    hit = engine.search("grid", "2024-10-15").hits.first()
+    page = engine.card(hit.card_id)
+    assert page["card"].count() == 1 and page["consensus"].count() >= 0 and page["flags"].count() == 1
+    assert engine.stats()["counts"].first().n_cards > 0 and engine.authors().count() > 0
+    assert engine.publish(str(tmp_path / "site"), 20_000).count() < engine.cards.count()
+    assert set(engine.topic("2023-APR")) == {"days", "sides", "authors", "newest"}
+    register(spark)
+    assert spark.sql("select pf_cite_year('Kessler 2026')").first()[0] == "26"
+
+
 def test_disagreements(spark):
     pairs = spark.createDataFrame([(1, 2), (5, 6)], "a bigint, b bigint")
     buckets = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (5, "y"), (6, "z"), (7, None)], "card_id bigint, bucket_id string")
