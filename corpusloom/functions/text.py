@@ -1,7 +1,8 @@
 """Text functions as Column expressions (JVM side, inside code generation).
 
-Java's ``\\s`` and ``\\d`` are ASCII by default; ``(?U)`` makes them Unicode, and U+001C to
-U+001F, which count as white space here, are named.
+White space is the Unicode set, named here character by character: trimming and translating
+by a list is several times faster than a Unicode regular expression, and Java's ``\\s`` would
+be ASCII only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-SPACE = r"(?U)[\s\x1c-\x1f]"
+# All but a-z, 0-9 and the space, as ranges: Java matches the negated class with a single
+# character in it about twenty times slower.
+NOT_KEPT = r"[\x00-\x1f!-/:-`{-\x{10ffff}]+"
+# Fixed value: what counts as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Version baked into every key, its prefixes, and words that names of authors are not.
 KEY_VERSION = "1"
@@ -67,14 +72,18 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
+def spaced(text: Column) -> Column:
+    """All white space as plain spaces, one for one."""
+    return F.translate(text, WHITE, " " * len(WHITE))
+
+
 def normalize(text: Column, compatible: bool = True) -> Column:
     """Lower-case words of a-z and 0-9 with single spaces; null as empty. With
     ``compatible`` false the compatibility form is taken as done already."""
     text = F.coalesce(text, F.lit(""))
     text = F.lower(nfkc(text) if compatible else text)
-    text = F.regexp_replace(text, SPACE, " ")
-    text = F.regexp_replace(text, "[^a-z0-9 ]", "")
-    return F.trim(F.regexp_replace(text, " +", " "))
+    text = F.regexp_replace(spaced(text), NOT_KEPT, "")
+    return F.trim(F.regexp_replace(text, "  +", " "))
 
 
 def canonical_key(norm: Column, analytic: Column) -> Column:
@@ -85,12 +94,17 @@ def canonical_key(norm: Column, analytic: Column) -> Column:
 
 def blank_to_null(text: Column) -> Column:
     """Without white space around; null if nothing is left."""
-    return F.nullif(F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(text, F.lit(WHITE)), F.lit(""))
+
+
+def has_text(text: Column) -> Column:
+    """Whether there is anything but white space; null counts as no."""
+    return F.coalesce(F.btrim(text, F.lit(WHITE)) != "", F.lit(False))
 
 
-def word_list(text: Column, pattern: str = r"(?U)[\s\x1c-\x1f]+") -> Column:
+def word_list(text: Column) -> Column:
     """Parts between white space; null and blank as an empty list."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), pattern), lambda w: w != "")
+    return F.filter(F.split(spaced(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
 
 
 def words_spoken(text: Column) -> Column:
@@ -118,7 +132,7 @@ def cite_year_strict(cite: Column) -> Column:
 
 def author_tokens(cite: Column, compatible: bool = True) -> Column:
     """Words of the authors' names in a short citation."""
-    tokens = F.array_distinct(word_list(normalize(cite, compatible), " "))
+    tokens = F.array_distinct(word_list(normalize(cite, compatible)))
     return F.filter(tokens, lambda w: ~w.isin(*AUTHOR_JOINERS) & ~w.rlike("^[0-9]+$"))
 
 

@@ -21,7 +21,7 @@ DUP_JACCARD, TRIM_CONTAINMENT = 0.90, 0.95
 
 def shingle_hashes(norm: Column, k: int = SHINGLE) -> Column:
     """Distinct 64-bit hashes of all runs of k words; fewer words give an empty array."""
-    w = X.word_list(norm, " ")
+    w = X.word_list(norm)
     n = F.greatest(F.size(w) - F.lit(k - 1), F.lit(0))
     # k shifted copies side by side: nothing is computed again for each element, as it
     # would be if the list of words were used inside the lambda
@@ -32,7 +32,7 @@ def shingle_hashes(norm: Column, k: int = SHINGLE) -> Column:
 def universe(cards: DataFrame) -> DataFrame:
     """Evidence of five words or more: card_id, cite, n_tokens, body_len, shingles."""
     c = cards.where(~F.col("is_analytic") & (F.col("body_text") != "")).withColumn("norm", X.normalize(F.col("body_text")))
-    c = c.withColumn("n_tokens", F.size(X.word_list(F.col("norm"), " "))).where(F.col("n_tokens") >= SHINGLE)
+    c = c.withColumn("n_tokens", F.size(X.word_list(F.col("norm")))).where(F.col("n_tokens") >= SHINGLE)
     return c.select("card_id", "cite", "n_tokens", F.coalesce("body_len", F.length("body_text")).alias("body_len"), shingle_hashes(F.col("norm")).alias("shingles"))
 
 

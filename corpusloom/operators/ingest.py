@@ -33,7 +33,7 @@ def map_records(records: DataFrame) -> DataFrame:
         "body_text": F.coalesce("body_text", "_p.body_text"),
         **{c: X.blank_to_null(F.col(c)) for c in ("cite", "fullcite", "source_url", "source_pub_date", "pocket", "hat", "block", "spoken", "external_id")},
     }).drop("_p", "payload")
-    has_body = F.coalesce(X.blank_to_null(F.col("body_text")).isNotNull(), F.lit(False))
+    has_body = X.has_text(F.col("body_text"))
     recovered = ~has_body & F.col("tag").isNull() & (F.length(shown) >= RECOVERED_LEAST)
     rows = rows.withColumns({
         "status": F.when(has_body, "evidence").when(F.col("tag").isNotNull(), "analytic").when(recovered, "recovered").otherwise("failed"),

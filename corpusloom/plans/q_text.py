@@ -14,11 +14,15 @@ from .registry import query
 from .search import Tables, search
 from .staging import Stage
 
-_CITES = "FROM (SELECT DISTINCT cite FROM card_records WHERE cite IS NOT NULL)"
+_CITES = "FROM (SELECT cite FROM card_records UNION SELECT cite FROM cards UNION SELECT fullcite FROM cards WHERE length(fullcite) < 60) WHERE cite IS NOT NULL"
 
 
 def _cites(spark, sf):
-    return Corpus(spark, sf).table("card_records", "cite").where("cite is not null").distinct()
+    """Short citations, and full ones that are no longer than that."""
+    c = Corpus(spark, sf)
+    cards = c.table("cards", "cite", "fullcite")
+    both = c.table("card_records", "cite").unionByName(cards.select("cite")).unionByName(cards.where(F.length("fullcite") < 60).select(F.col("fullcite").alias("cite")))
+    return both.where("cite is not null").distinct()
 
 
 @query("q_x4_cite_year_search", f"SELECT cite, CASE WHEN length(y) = 4 THEN y[3:4] ELSE lpad(y, 2, '0') END AS year FROM (SELECT cite, list_filter(regexp_extract_all(cite, '\\d+'), lambda x: length(x) IN (1, 2, 4))[-1] AS y {_CITES})")
