@@ -56,6 +56,14 @@ against about without within
 PRO_WORDS = ("P", "PRO", "A", "AFF", "AFFIRMATIVE", "1")
 CON_WORDS = ("C", "CON", "N", "NEG", "NEGATIVE", "2")
 
+# The shapes of addresses and dates in full citations, and how far a date may lie from the front.
+URL_SHAPE, URL_TAIL = r"https?://[^\s\"'<>\)\]]+", r"[.,;:!?'’”]+$"
+DOCUMENT_URL_SHAPE, DOCUMENT_URL_TAIL = r"(?i)https?://[^\s<>\"'\)\]]+", r"[.,;:!?]+$"
+MONTH_DAY_YEAR = r"\b(\d{1,2})-(\d{1,2})-(\d{4})\b"
+NAMED_MONTH = r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})\b"
+FULL_YEAR = r"\b(19\d{2}|20\d{2})\b"
+DATE_ZONE = 200
+
 # Numbering and prefixes of answer blocks.
 NUMBERING = r"(?i)^\s*(?:\(?\d+[\).]|\(?[a-z][\).]|[ivx]+[\).])\s+"
 ANSWER_PREFIX = r"(?i)^\s*(?:(?:a2|at|a/2|a-2)\s*[:\-–—]?\s+|(?:a2|at)[:\-–—]\s*)"
@@ -165,14 +173,12 @@ def argument_key(block: Column, compatible: bool = True) -> Column:
 
 def first_url(cite: Column) -> Column:
     """First web address in a citation, closing punctuation cut off."""
-    found = F.regexp_extract(cite, r"https?://[^\s\"'<>\)\]]+", 0)
-    return F.nullif(F.regexp_replace(found, r"[.,;:!?'’”]+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_extract(cite, URL_SHAPE, 0), URL_TAIL, ""), F.lit(""))
 
 
 def first_url_document(cite: Column) -> Column:
     """The document reader's variant: any case, quotes do not close the address."""
-    found = F.regexp_extract(cite, r"(?i)https?://[^\s<>\"'\)\]]+", 0)
-    return F.nullif(F.regexp_replace(found, r"[.,;:!?]+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_extract(cite, DOCUMENT_URL_SHAPE, 0), DOCUMENT_URL_TAIL, ""), F.lit(""))
 
 
 def _month_number(name: Column) -> Column:
@@ -195,14 +201,13 @@ def pub_date_by_shape(cite: Column) -> Column:
     """Publication date in the first 200 characters before an address: the first M-D-YYYY,
     else the first ``Month D, YYYY``, else the first year of 19xx or 20xx. A date that does
     not exist falls through to the next shape."""
-    front = F.substring(F.split(cite, "http", 2)[0], 1, 200)
-    num = lambda pattern, k: F.regexp_extract(front, pattern, k).try_cast("int")
-    mdy = r"\b(\d{1,2})-(\d{1,2})-(\d{4})\b"
-    named = r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})\b"
+    front = F.substring(F.split(cite, "http", 2)[0], 1, DATE_ZONE)
+    part = lambda pattern, k: F.regexp_extract(front, pattern, k)
+    number = lambda pattern, k: part(pattern, k).try_cast("int")
     return F.coalesce(
-        _iso(num(mdy, 3), num(mdy, 1), num(mdy, 2)),
-        _iso(num(named, 3), _month_number(F.regexp_extract(front, named, 1)), num(named, 2)),
-        F.nullif(F.regexp_extract(front, r"\b(19\d{2}|20\d{2})\b", 1), F.lit("")),
+        _iso(number(MONTH_DAY_YEAR, 3), number(MONTH_DAY_YEAR, 1), number(MONTH_DAY_YEAR, 2)),
+        _iso(number(NAMED_MONTH, 3), _month_number(part(NAMED_MONTH, 1)), number(NAMED_MONTH, 2)),
+        F.nullif(part(FULL_YEAR, 1), F.lit("")),
     )
 
 

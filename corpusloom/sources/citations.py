@@ -12,6 +12,7 @@ CITE_WORDS, LEAD_WORDS, EVIDENCE_WORDS, TAG_WORDS, LOOSE_WORDS = 80, 60, 40, 40,
 DATE_ZONE = 200
 TAG_BOLD_SHARE, TAG_POINTS, SMALL_POINTS = 0.8, 12.5, 9.0
 
+# Shapes of addresses, years, dates and marks of access.
 _SHORT = [re.compile(p.replace("(?U)", "")) for p in SHORT_CITES]
 _URL = re.compile(r"https?://[^\s<>\"'\)\]]+", re.IGNORECASE)
 _YEAR = re.compile(r"\b(?:19|20)\d{2}\b")

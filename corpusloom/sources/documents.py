@@ -225,6 +225,7 @@ def docx_cards(content: bytes, fidelity: str = "opensource") -> list[dict]:
     return cards
 
 
+# Fixed value: lines that are page numbers.
 _FURNITURE = re.compile(r"(?i)(?:page\s+)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?")
 
 
