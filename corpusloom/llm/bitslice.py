@@ -24,6 +24,8 @@ RADIUS = 44
 #: Larger buckets are compared block against block in tasks of their own.
 BLOCK = 4096
 _STEP = 32
+#: Words that are compared at once, of as many distances as it takes.
+_WORDS = 4096
 
 
 def planes(s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
@@ -36,15 +38,13 @@ def planes(s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(padded.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def _shifted(p: np.ndarray, at: np.ndarray, d: int) -> np.ndarray:
-    """Words ``at`` of the planes moved down by ``d`` texts."""
-    skip, by = divmod(d, 64)
+def _shifted(p: np.ndarray, at: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Words ``at`` of the planes moved down by ``d`` texts, d for each word."""
+    skip, by = at + (d >> 6), (d & 63).astype(np.uint64)
     last = p.shape[1] - 1
-    low = np.where(at + skip <= last, p[:, np.minimum(at + skip, last)], np.uint64(0))
-    if not by:
-        return low
-    high = np.where(at + skip + 1 <= last, p[:, np.minimum(at + skip + 1, last)], np.uint64(0))
-    return (low >> np.uint64(by)) | (high << np.uint64(64 - by))
+    low = np.where(skip <= last, p[:, np.minimum(skip, last)], np.uint64(0))
+    high = np.where((skip < last) & (by > 0), p[:, np.minimum(skip + 1, last)], np.uint64(0))
+    return (low >> by) | (high << ((np.uint64(64) - by) & np.uint64(63)))
 
 
 def _add(counter: list[np.ndarray], bit: np.ndarray, weight: int) -> None:
@@ -74,14 +74,13 @@ def _at_most(counter: list[np.ndarray], limit: int) -> np.ndarray:
     return less | equal
 
 
-def close_lanes(p: np.ndarray, at: np.ndarray, lanes: np.ndarray, d: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (i, i + d) given as bits ``lanes`` of the words ``at``: those within
-    ``radius``, as the words that keep any and their bits."""
+def close_lanes(p: np.ndarray, at: np.ndarray, lanes: np.ndarray, d: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, i + d) given as bits ``lanes`` of the words ``at``, with a d for each
+    word: those within ``radius``, as the words that keep any, their bits and their d."""
     counter: list[np.ndarray] = []
     for begin in range(0, len(p), _STEP):
         part = p[begin : begin + _STEP]
-        diff = part[:, at] ^ _shifted(part, at, d)
-        level = list(diff)
+        level = list(part[:, at] ^ _shifted(part, at, d))
         weight = 0
         while level:  # carry-save: three words of one weight become one, and one of twice the weight
             above = []
@@ -97,10 +96,10 @@ def close_lanes(p: np.ndarray, at: np.ndarray, lanes: np.ndarray, d: int, radius
         lanes = lanes & _at_most(counter, radius)
         alive = lanes != 0
         if not alive.all():  # abandon
-            at, lanes, counter = at[alive], lanes[alive], [c[alive] for c in counter]
+            at, lanes, d, counter = at[alive], lanes[alive], d[alive], [c[alive] for c in counter]
             if not len(at):
                 break
-    return at, lanes
+    return at, lanes, d
 
 
 def _add_at(counter: list[np.ndarray], bit: np.ndarray, weight: int) -> None:
@@ -116,25 +115,29 @@ def pairs_in_runs(keys: np.ndarray, s0: np.ndarray, s1: np.ndarray, radius: int)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     p = planes(s0, s1)
-    found_i, found_j = [], []
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     ends = np.searchsorted(keys, keys, side="right")
     left = ends - 1 - np.arange(n)  # how many of the own key follow
-    most = int(left.max())
-    active = np.arange(n)
-    for d in range(1, most + 1):
-        active = active[left[active] >= d]
-        at, where = np.unique(active >> 6, return_inverse=True)
-        lanes = np.zeros(len(at), dtype=np.uint64)
-        np.bitwise_or.at(lanes, where, np.uint64(1) << (active & 63).astype(np.uint64))
-        at, lanes = close_lanes(p, at, lanes, d, radius)
-        if len(at):
-            bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            word, bit = np.nonzero(bits)
-            i = at[word] * 64 + bit
-            found_i.append(i)
-            found_j.append(i + d)
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    active = np.flatnonzero(left > 0)
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, d = 0, 1
+    while len(active) or waiting:
+        if len(active):
+            word = active >> 6
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            lanes = np.bitwise_or.reduceat(np.uint64(1) << (active & 63).astype(np.uint64), first)
+            waiting.append((word[first], lanes, np.full(len(first), d)))
+            size += len(first)
+            d += 1
+            active = active[left[active] >= d]
+        if size >= _WORDS or not len(active):  # few words of many distances are compared together
+            at, lanes, by = close_lanes(p, *(np.concatenate(x) for x in zip(*waiting, strict=True)), radius)
+            waiting, size = [], 0
+            if len(at):
+                bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                k, bit = np.nonzero(bits)
+                found_i.append(at[k] * 64 + bit)
+                found_j.append(found_i[-1] + by[k])
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
