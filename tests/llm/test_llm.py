@@ -345,10 +345,19 @@ def test_plan_places_every_item_once(histogram, groups):
             load[at + k] += size
     assert set(seen.values()) <= {1} and Counter(s for s, _ in seen) == Counter(histogram)
     assert max(load.values(), default=0) <= 100
-    total = sum(s * n for s, n in histogram.items())
     if load:
         assert set(load) == set(range(len(load)))
-        assert len(load) <= 1.7 * -(-total // 100) + 1 + histogram.get(51, 0) * 0 + sum(n for s, n in histogram.items() if s > 50)
+        large = sum(n for s, n in histogram.items() if s > 100 // packing.SMALL_PART)
+        small = sum(s * n for s, n in histogram.items()) - sum(s * n for s, n in histogram.items() if s > 100 // packing.SMALL_PART)
+        # at worst each large item lies alone, and small ones leave less room than one of them takes
+        assert len(load) <= large + small / (100 - 100 // packing.SMALL_PART) + 1
+
+
+def test_plan_comes_near_the_lower_bound():
+    rng = random.Random(3)
+    sizes = Counter(min(100, max(1, int(rng.lognormvariate(3, 0.8)))) for _ in range(20_000))
+    used = {at + k for _, _, n, at in packing.plan(dict(sizes), 100) for k in range(n)}
+    assert len(used) <= 1.02 * sum(s * n for s, n in sizes.items()) / 100
 
 
 def test_pack(spark):
