@@ -81,20 +81,23 @@ def _forests(edges: DataFrame, bound: int) -> DataFrame:
     return edges.mapInArrow(_partition_forest(bound), "node bigint, root bigint")
 
 
-def _merged(stage: Stage, star: DataFrame, bound: int, tag: str) -> tuple[DataFrame, int]:
+def _merged(stage: Stage, star: DataFrame, bound: int, tag: str) -> tuple[DataFrame, bool]:
     """Merge forests in partitions of about ``bound`` edges, until one partition is left or
-    a level frees too little."""
+    a level frees too little and leaves more than one partition may hold. With the forests,
+    whether they are one, merged in a single partition."""
     n = star.count()
     for level in range(64):
         parts = -(-n // bound)
         if not n:
-            break
+            return star, True
         merged = stage.write(_forests(star.repartition(parts) if parts > 1 else star.coalesce(1), bound), f"{tag}-{level}")
         m = merged.count()
-        if parts == 1 or m > 0.7 * n:
-            return merged, m
-        star, n = merged, m
-    return star, n
+        if parts == 1:
+            return merged, True
+        star, freed, n = merged, m <= 0.7 * n, m
+        if m > bound and not freed:
+            break
+    return star, False
 
 
 def _contract(star: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,8 +124,8 @@ def connected_components(edges: DataFrame, stage: Stage | None = None, bound: in
     star = stage.write(_forests(edges, bound), "level-0")
     labels: list[DataFrame] = []
     for turn in range(64):
-        star, n = _merged(stage, star, bound, f"merge-{turn}")
-        if n <= bound:
+        star, whole = _merged(stage, star, bound, f"merge-{turn}")
+        if whole:
             break
         label, rest = _contract(star)
         labels.append(stage.write(label, f"label-{turn}"))

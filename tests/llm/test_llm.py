@@ -187,6 +187,14 @@ def test_components(spark, bound):
     assert {tuple(r) for r in got.collect()} == _groups(edges) and got.count() == got.distinct().count()
 
 
+def test_components_last_merge_is_in_one_partition(spark):
+    """120 star edges, a little more than the bound; a level in two partitions leaves a little
+    less, with nodes that have a root in each."""
+    edges = [(10 * g + root, 10 * g + k) for root in (0, 1) for g in range(20) for k in (2, 3, 4)]
+    got = components.connected_components(spark.createDataFrame(edges, "node bigint, root bigint"), bound=len(edges) - 1)
+    assert {tuple(r) for r in got.collect()} == _groups(edges) and got.count() == got.distinct().count()
+
+
 def test_members_and_empty(spark):
     rows = [(k % 90, f"b{k % 17}") for k in range(400)] + [(500, None), (None, "b1"), (501, "alone")]
     stage = Stage(spark, "test")
