@@ -253,10 +253,10 @@ class HistoryIndex:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.live: list[dict] = self._load()
+        self.live: list[dict] = self._load("manifest.json")
 
-    def _load(self) -> list[dict]:
-        manifest = self._path(f"{self.path}/manifest.json")
+    def _load(self, name: str) -> list:
+        manifest = self._path(f"{self.path}/{name}")
         if not self._fs.exists(manifest):
             return []
         stream = self._fs.open(manifest)
@@ -266,13 +266,21 @@ class HistoryIndex:
             stream.close()
         return json.loads(text)
 
-    def _save(self) -> None:
-        stream = self._fs.create(self._path(f"{self.path}/manifest.json"), True)
+    def _save(self, name: str, value: list) -> None:
+        stream = self._fs.create(self._path(f"{self.path}/{name}"), True)
         try:
-            stream.write(bytearray(json.dumps(self.live).encode()))
+            stream.write(bytearray(json.dumps(value).encode()))
         finally:
             stream.close()
 
+    def calls(self) -> list[str]:
+        """Folders of what ``history`` keeps beside the shards, in order of acceptance."""
+        return self._load("calls.json")
+
+    def accept(self, call: str) -> None:
+        """The last step of a call: what it kept counts from now on."""
+        self._save("calls.json", [*self.calls(), call])
+
     def _shards(self, entries: list[dict]) -> DataFrame:
         """(place, graph) of live shards, place being their number in ``entries``."""
         by = {}
@@ -301,7 +309,7 @@ class HistoryIndex:
         self.live += self._write(built, name)
         self.search(batch, size).write.mode("overwrite").parquet(to)
         self._compact(name)
-        self._save()
+        self._save("manifest.json", self.live)
 
     def search(self, queries: DataFrame, size: int) -> DataFrame:
         """Candidate pairs (a, b) of the queries with all live shards."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.staging import Stage
@@ -10,6 +12,12 @@ from .features import classes, describe, verified
 from .graphindex import HistoryIndex
 
 _PAYLOAD = "tag string, body_text string, is_analytic string"
+#: What a call keeps beside the shards: of each key (external id or normal form) a record, the
+#: words of the texts in the shards, the batch of each record, and the groups so far.
+_KEPT = {
+    "heads": "record_id bigint, key string", "words": "record_id bigint, words binary",
+    "records": "record_id bigint, batch_no int", "labels": "node bigint, component bigint",
+}
 
 
 def unpacked_records(records: DataFrame) -> DataFrame:
@@ -37,29 +45,63 @@ def first_accepted(records: DataFrame, stage: Stage | None = None, index: str |
     word in their text are linked to nothing; a null batch_no counts as the first batch;
     repeated rows of one record_id are one record; extra columns are ignored; an empty
     table gives an empty result.
+
+    With ``index``, a folder, records are accepted for good: the result of a call is that of
+    one call over the records of all calls on the folder. A batch may come in several calls
+    and a record again; a call that fails has accepted nothing and is repeated. One call at
+    a time.
     """
     spark = records.sparkSession
     stage = stage or Stage(spark, "history")
     rows = unpacked_records(records).withColumn("batch_no", F.coalesce("batch_no", F.lit(-(2**31))))
     features = stage.write(describe(rows, "record_id", "batch_no", "number"), "features")
+    history = HistoryIndex(spark, index or stage.path("index"))
+    calls = history.calls() if index else []
+    # a name of its own for every attempt, so that no shard of an earlier one is overwritten
+    call = f"call-{len(calls)}-{uuid.uuid4().hex}"
+
+    def kept(name: str, folders: list[str]) -> DataFrame:
+        return spark.read.schema(_KEPT[name]).parquet(*(f"{history.path}/{c}/{name}" for c in folders))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{history.path}/{call}/{name}")
+        return kept(name, [call])
+
+    form = F.concat_ws("-", F.col("kind").cast("string"), "key_a", "key_b").alias("key")
     reps = classes(features, "record_id", F.min_by("batch_no", "record_id").alias("batch_no"))
+    if calls:  # texts of the shards stand for their copies
+        reps = reps.withColumn("key", form).join(kept("heads", calls).select("key"), "key", "left_anti")
     reps = reps.select("rep", "batch_no", "s0", "s1", "bands")
     reps.write.partitionBy("batch_no").parquet(stage.path("reps"))
     reps = spark.read.schema("rep bigint, s0 bigint, s1 bigint, bands array<bigint>, batch_no int").parquet(stage.path("reps"))
-    history = HistoryIndex(spark, index or stage.path("index"))
     batches = sorted((r["batch_no"], r["count"]) for r in reps.groupBy("batch_no").count().collect())  # one row per batch
     for k, (number, size) in enumerate(batches):
         own = reps.where(F.col("batch_no") == number).drop("batch_no")
-        history.add(own, f"batch-{k}", size, f"{stage.path('found')}/k={k}")
+        history.add(own, f"{call}-batch{number}", size, f"{stage.path('found')}/k={k}")
     members = rows.where("number is not null").select("record_id", F.concat(F.lit("x"), "number").alias("key"))
-    same = features.select("record_id", F.concat_ws("-", F.col("kind").cast("string"), "key_a", "key_b").alias("key"))
-    edges = member_edges(members.unionByName(same), stage)
+    members = members.unionByName(features.select("record_id", form))
+    words = features.select("record_id", "words")
+    when = rows.select("record_id", "batch_no")
+    if index:
+        keep(members.groupBy("key").agg(F.min("record_id").alias("record_id")).select("record_id", "key"), "heads")
+        keep(words.join(reps.select(F.col("rep").alias("record_id")), "record_id", "left_semi"), "words")
+        keep(when.groupBy("record_id").agg(F.min("batch_no").alias("batch_no")), "records")
+    if calls:
+        members = members.unionByName(kept("heads", calls))
+        words = words.unionByName(kept("words", calls))
+        when = when.unionByName(kept("records", calls))
+    edges = member_edges(members, stage)
+    if calls:
+        edges = edges.unionByName(kept("labels", calls[-1:]).toDF("node", "root"))
     if batches:
         candidates = spark.read.schema("a bigint, b bigint").parquet(*(f"{stage.path('found')}/k={k}" for k in range(len(batches)))).distinct()
-        near = stage.write(verified(candidates, features, "record_id"), "near")
+        near = stage.write(verified(candidates, words, "record_id"), "near")
         edges = edges.unionByName(near.select(F.col("a").alias("node"), F.col("b").alias("root")))
     labels = connected_components(edges, stage)
-    when = rows.groupBy("record_id").agg(F.min("batch_no").alias("batch_no"))
+    if index:
+        labels = keep(labels, "labels")
+        history.accept(call)
+    when = when.groupBy("record_id").agg(F.min("batch_no").alias("batch_no"))
     placed = labels.join(when, labels.node == when.record_id).select("record_id", "component", "batch_no")
     # a group may be any share of all rows: its head is joined on eight keys
     heads = placed.where(F.col("record_id") == F.col("component")).select("component", F.col("batch_no").alias("first_batch"), F.explode(F.array(*map(F.lit, range(8)))).alias("salt"))

@@ -239,6 +239,24 @@ def test_history_awkward(spark):
     assert history.first_accepted(spark.createDataFrame([], RECORD)).isEmpty()
 
 
+def test_history_handed_over_in_calls(spark):
+    """Calls on one index folder, with a batch cut in two, against one call over all."""
+    rng = random.Random(8)
+    rows = _corpus(8, 20)
+    records = [(k, rng.randrange(4), f"HF-{rng.randrange(40):04d}" if k % 4 == 0 else None, None, t, None, None, "x", "y") for k, t in rows]
+    first = [r for r in records if r[1] < 2 or r[1] == 2 and r[0] % 2]
+    second = [r for r in records if r not in first]
+    path = Stage(spark, "test").path("index")
+
+    def call(some, index=None):
+        return {tuple(r) for r in history.first_accepted(spark.createDataFrame(some, RECORD), index=index).collect()}
+
+    want, new = call(records), {r[0] for r in second}
+    assert call(first, path) == call(first)
+    assert call(second, path) == want
+    assert {g for g, k in want if k in new} - new and call([], path) == want == call(first[:9], path)
+
+
 def test_index_survives_restart_and_compacts(spark):
     rows = _corpus(4, 60)
     df = spark.createDataFrame([(k, False, t) for k, t in rows], "rep bigint, kind boolean, text string")
