@@ -100,8 +100,10 @@ def _(spark, sf):
 SELECT canonical_key, min(record_id) AS card_id, count(*) AS n_rows FROM latest WHERE canonical_key IS NOT NULL GROUP BY 1""", "mapped"))
 def _(spark, sf):
     stage = Stage(spark, "stream")
-    schema = Corpus(spark, sf).table("card_records").schema
-    sink = ingest_stream(spark, f"{sf.rstrip('/')}/card_record[s].parquet", schema, stage)
+    records = Corpus(spark, sf).table("card_records")
+    # every batch a file of its own, hence a micro-batch
+    records.withColumn("arrival", F.col("batch_no")).repartition("arrival").write.partitionBy("arrival").parquet(stage.path("arrived"))
+    sink = ingest_stream(spark, f"{stage.path('arrived')}/arrival=*", records.schema, stage)
     rows = sink.read("rows").where("canonical_key is not null").groupBy("canonical_key").agg(F.count(F.lit(1)).alias("n_rows"))
     return sink.read("cards").select("canonical_key", "card_id").join(rows, "canonical_key")
 

@@ -2,12 +2,14 @@
 
 The sink is a log: every micro-batch is mapped and appended as a folder of its own, under
 its number, so a batch that is delivered again replaces itself and none costs more than its
-own rows. What is current (the latest version of each external id, and the cards and
+own rows. The log is what lies in the folder, so a stream that goes on later finds it. What is current (the latest version of each external id, and the cards and
 variants that follow) is a view over the log; ``compact`` folds the log into one folder.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ingest as I
@@ -19,29 +21,32 @@ class CorpusSink:
 
     def __init__(self, spark: SparkSession, stage: Stage):
         self.spark, self.stage = spark, stage
-        self.parts: dict[str, str] = {}
+
+    def parts(self) -> list[str]:
+        """Folders of the log that were written to their end."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        root = path(self.stage.path("log"))
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(f"log/{n}" for n in names if fs.exists(path(self.stage.path(f"log/{n}/_SUCCESS"))))
 
     def merge(self, records: DataFrame, batch: int) -> None:
         """Take in a batch."""
-        name = f"log/batch={batch}"
-        I.map_records(records).write.mode("overwrite").parquet(self.stage.path(name))
-        self.parts[f"batch={batch}"] = self.stage.path(name)
+        I.map_records(records).write.mode("overwrite").parquet(self.stage.path(f"log/batch={batch}"))
 
     def compact(self) -> None:
         """Fold the log into one folder of current rows; the old folders go afterwards."""
-        old = dict(self.parts)
-        name = f"log/folded={len(old)}-{max(old)}"
-        self.rows().write.mode("overwrite").parquet(self.stage.path(name))
-        self.parts = {"folded": self.stage.path(name)}
-        for path in old.values():
-            self.stage.drop(path.removeprefix(self.stage.root + "/"))
+        old = self.parts()
+        self.rows().write.parquet(self.stage.path(f"log/folded={uuid.uuid4().hex}"))
+        for name in old:
+            self.stage.drop(name)
 
     def rows(self) -> DataFrame:
         """Current rows: each record once, of each external id the latest version."""
         # each folder is read by its own path, so the names of the folders add no column
         log = None
-        for path in self.parts.values():
-            part = self.spark.read.parquet(path)
+        for name in self.parts():
+            part = self.spark.read.parquet(self.stage.path(name))
             log = part if log is None else log.unionByName(part)
         return I.latest_versions(log.dropDuplicates(["record_id"]), I.external_number(F.col("external_id")))
 
@@ -52,7 +57,8 @@ class CorpusSink:
 
 
 def ingest_stream(spark: SparkSession, source: str, schema, stage: Stage, files_per_batch: int = 1) -> CorpusSink:
-    """Run a stream of record files (a path or pattern) to its present end."""
+    """Run a stream of record files (a path or pattern) to its present end. Called again on
+    the same stage, it goes on with the files that have come since."""
     sink = CorpusSink(spark, stage)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = (

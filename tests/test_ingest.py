@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import ingest as I
 from corpusloom.plans.staging import Stage
-from corpusloom.streaming.ingest import CorpusSink
+from corpusloom.streaming.ingest import CorpusSink, ingest_stream
 
 SCHEMA = (
     "record_id bigint, batch_no int, received_at timestamp, external_id string, round_id bigint, team_id bigint, tag string, cite string, fullcite string, "
@@ -100,3 +100,14 @@ def test_stream_batches_are_idempotent(spark):
     assert after == {2, 3, 11}  # record 1 was replaced; its text lives on with record 2
     sink.compact()
     assert {r.card_id for r in sink.read("cards").collect()} == after and sink.read("variants").count() == 2  # 3 and 11 share a place in one document
+
+
+def test_stream_goes_on_with_what_lies_in_its_stage(spark):
+    stage = Stage(spark, "resumed")
+    for k in range(3):
+        records(spark, *ROWS[k : k + 1]).coalesce(1).write.mode("append").parquet(stage.path("arrived"))
+        sink = ingest_stream(spark, f"{stage.path('arrived')}/*.parquet", spark.read.parquet(stage.path("arrived")).schema, stage)
+        assert {r.record_id for r in sink.read("rows").collect()} == {r["record_id"] for r in ROWS[: k + 1]}
+        sink.compact()
+    again = ingest_stream(spark, f"{stage.path('arrived')}/*.parquet", spark.read.parquet(stage.path("arrived")).schema, stage)
+    assert again.read("rows").count() == 3
