@@ -72,7 +72,7 @@ def parse_written(raw: str | None, local_zone: str | None, day_first: bool | Non
     are no dates.
     """
     text = " ".join((raw or "").split())
-    if not text or len(text) > 80:
+    if not text:
         return None
     if _EPOCH.fullmatch(text):
         seconds = int(text) if len(text) == 10 else int(text) // 1000

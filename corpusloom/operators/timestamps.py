@@ -24,6 +24,12 @@ _PARSED = "raw string, zone string, day_first boolean, n bigint, utc string, gra
 # How citations mark the day on which a page was read.
 ACCESS_MARKS = r"(?:doa|date of access|access date|accessed|last accessed|retrieved|last visited)"
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+NO_DATE = r"(?:no date|n\.\s?d\.?|undated)"
+# What parts the places of a citation. Only a place that a year fills is a date;
+# any other number of four digits may be said in a title.
+_NAME = r"[^\s,;:–—|]{1,40}"
+_LEAD = rf"^\s{{0,9}}{_NAME}(?: (?:and|&) {_NAME}| et al\.?)? "  # Name 2016, a short citation
+_BEFORE, _AFTER = r"(?<=(?:^|[,;.:(\[–—|])\s{0,9})", r"(?=\s*(?:[,;.:)\]–—|]|$))"
 CITE_DATE = (
     r"(?<![\w/.-])("
     r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?"
@@ -31,17 +37,18 @@ CITE_DATE = (
     rf"|\d{{1,2}}(?:st|nd|rd|th)?[ -](?:of )?{_MONTH}[ -],? ?\d{{4}}"
     rf"|{_MONTH} \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}"
     rf"|{_MONTH},? \d{{4}}"
-    r"|\d{4}[-/]\d{1,2}|\d{1,2}/\d{4}|\d{4}"
+    rf"|\d{{4}}[-/]\d{{1,2}}|\d{{1,2}}/\d{{4}}|(?:{_BEFORE}|(?<={_LEAD}))\d{{4}}{_AFTER}"
     r")(?![\w/-]|\.\d)"
 )
 
 
 def cite_date(cite: Column) -> Column:
-    """The publication date as written in a full citation: addresses, quoted titles and the
-    date of access are cut away first. Null if there is none."""
+    """The publication date as written in a full citation: addresses, quoted titles, the
+    date of access and what follows a statement that there is no date are cut away first.
+    A year alone counts only where it fills a place between separators. Null if there is none."""
     text = F.regexp_replace(cite, r"(?i)https?://\S+", " ")
     text = F.regexp_replace(text, r"“[^”]*”|\"[^\"]*\"|(?<=[;,] )'[^;]*'(?=;)", " ")
-    text = F.regexp_replace(text, rf"(?is)\b{ACCESS_MARKS}\b.*$", " ")
+    text = F.regexp_replace(text, rf"(?is)\b{ACCESS_MARKS}\b.*$|{_BEFORE}{NO_DATE}{_AFTER}.*$", " ")
     return F.nullif(F.regexp_extract(text, "(?i)" + CITE_DATE, 1), F.lit(""))
 
 
@@ -75,21 +82,29 @@ class TimestampDictionary:
                 return None
             raise
 
-    def update(self, rows: DataFrame) -> int:
-        """Add what ``rows`` (raw, zone, day_first) has and the dictionary has not; the
-        number of rows counted. Null strings are left out. Counts are of the rows that
-        first brought a string."""
-        fresh = rows.where(F.col("raw").isNotNull()).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    def update(self, rows: DataFrame, stage: Stage) -> DataFrame:
+        """Add what ``rows`` (raw, zone, day_first) has and the dictionary has not. Returns
+        the strings of these rows with their parse and how many of these rows carry each:
+        they are counted anew on every call, since a string is hot by the rows at hand, not
+        by those that first brought it. Null strings are left out."""
+        counted = rows.where(F.col("raw").isNotNull()).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
         known = self.read()
-        if known is not None:
-            same = [fresh[c].eqNullSafe(known[c]) for c in KEY]
-            fresh = fresh.join(known, same[0] & same[1] & same[2], "left_anti")
+        if known is None:
+            counted.mapInArrow(_parse, _PARSED).write.mode("append").parquet(self.path)
+            return self.read()
+        counted = stage.write(counted, "strings")
+        same = [counted[c].eqNullSafe(known[c]) for c in KEY]
+        fresh = counted.join(known, same[0] & same[1] & same[2], "left_anti")
         fresh.mapInArrow(_parse, _PARSED).write.mode("append").parquet(self.path)
-        return self.read().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    def attach(self, rows: DataFrame, id_col: str, total: int) -> DataFrame:
-        """``rows`` (with the key columns) plus utc and grain, null where unreadable."""
-        parsed = self.read().groupBy(*KEY).agg(F.sum("n").alias("n"), F.first("utc").alias("utc"), F.first("grain").alias("grain"))
+        known = self.read().drop("n")
+        same = [counted[c].eqNullSafe(known[c]) for c in KEY]
+        return stage.write(counted.join(known, same[0] & same[1] & same[2]).select(*(counted[c] for c in KEY), "n", "utc", "grain"), "parsed")
+
+    @staticmethod
+    def attach(rows: DataFrame, parsed: DataFrame, id_col: str, total: int) -> DataFrame:
+        """``rows`` (with the key columns) plus utc and grain, null where unreadable, from
+        the strings that ``update`` returned; ``total`` rows carry one."""
+        parsed = parsed.groupBy(*KEY).agg(F.sum("n").alias("n"), F.first("utc").alias("utc"), F.first("grain").alias("grain"))
         tag = F.concat_ws("\x01", "raw", F.coalesce("zone", F.lit("")), F.coalesce(F.col("day_first").cast("string"), F.lit("")))
         parsed = parsed.select(tag.alias("_k"), "n", "utc", "grain")
         limit = max(total * HOT_SHARE, 1000)
@@ -129,13 +144,14 @@ def publication_times(cards: DataFrame, outlets: DataFrame, stage: Stage | None
     rows = stage.write(rows, "rows")
     words = TimestampDictionary(cards.sparkSession, dictionary or stage.path("dictionary"))
     both = rows.select(F.explode(F.array("raw", "cited")).alias("raw"), "zone", "day_first")
-    total = words.update(both)
-    first = words.attach(rows, "id", total)
+    parsed = words.update(both, stage)
+    total = parsed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = words.attach(rows, parsed, "id", total)
     later = first.select(
         "id", F.col("utc").alias("pub"), F.col("grain").alias("pub_grain"),
         F.when(F.col("utc").isNull(), F.col("cited")).alias("raw"), "zone", "day_first",
     )
-    out = words.attach(later, "id", total)
+    out = words.attach(later, parsed, "id", total)
     return out.select("id", F.coalesce("pub", "utc").alias("pub_utc"), F.coalesce("pub_grain", "grain").alias("grain")).where(
         F.col("pub_utc").isNotNull()
     )

@@ -83,6 +83,21 @@ def test_citation_where_the_date_tells_nothing(spark):
     ]
 
 
+def test_a_year_in_a_title_is_no_date(spark):
+    dashed = "Quell Ketlen – Senior Fellow – Ostrey Ledger, {} – A voluntary interconnector across the substation by 2030 – https://o.example/a/19, Accessed: 3-3-2026"
+    cites = [dashed.format("no date"), dashed.format("n.d."), dashed.format("2016"), dashed.format("March 2016"), "Kessler and Zan 2016", "Kessler et al. 2016, Fellow",
+             "[A B, Staff; n.d.; 'A levy by 2035'; Herald; https://x.example]", "A B, Staff, 2019, “Plans of 2035,” Herald, no address", "the plan for 2040 of the ledger", ", 2016"]
+    got = _run(spark, [(k, None, c, None, None, None) for k, c in enumerate(cites)])
+    assert [(i, u[:7], g) for i, u, g in got] == [(2, "2016-01", "year"), (3, "2016-03", "month"), (4, "2016-01", "year"), (5, "2016-01", "year"), (7, "2019-01", "year"), (9, "2016-01", "year")]
+
+
+def test_no_length_is_too_long():
+    raw = "Wednesday, 30th of September 2020 at 12:00:00.{} America/Argentina/ComodRivadavia"
+    for digits in ("0", "0" * 40, "0" * 5000):
+        assert parse_written(raw.format(digits), None, None) == ("2020-09-30T15:00:00Z", "time")
+    assert parse_written("2020 " * 50_000, None, None) is None and parse_written("12:00:00 " + "a" * 200_000, None, None) is None
+
+
 def test_empty_and_hot(spark):
     assert _run(spark, []) == []
     rows = [(k, "2015" if k % 3 else f"2015-01-{1 + k % 28:02d}", None, None, None, None) for k in range(3000)]
@@ -95,8 +110,10 @@ def test_dictionary_grows_only_by_new_strings(spark):
     stage = Stage(spark, "test")
     words = TimestampDictionary(spark, stage.path("d"))
     rows = spark.createDataFrame([("2015", None, False), ("2016", "UTC", True), (None, None, None)], "raw string, zone string, day_first boolean")
-    words.update(rows)
-    words.update(rows.unionByName(spark.createDataFrame([("2017", None, False)], rows.schema)))
+    first = words.update(rows, stage)
+    assert sorted((r.raw, r.n) for r in first.collect()) == [("2015", 1), ("2016", 1)]
+    later = words.update(spark.createDataFrame([("2017", None, False)] + [("2015", None, False)] * 5, rows.schema), stage)
+    assert sorted((r.raw, r.n, r.utc[:4]) for r in later.collect()) == [("2015", 5, "2015"), ("2017", 1, "2017")]  # counted anew
     assert sorted(r.raw for r in words.read().collect()) == ["2015", "2016", "2017"]
 
 
