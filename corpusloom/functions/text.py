@@ -123,11 +123,14 @@ def last_item(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
 
+#: ``cite_year_search`` over a column named cite, for users who write SQL.
+CITE_YEAR_SQL = r"right(concat('0', try_element_at(filter(regexp_extract_all(coalesce(cite, ''), '(?U)(\\d+)'), d -> length(d) IN (1, 2, 4)), -1)), 2)"
+
+
 def cite_year_search(cite: Column) -> Column:
     """Two digits of the last number of 1, 2 or 4 digits; numbers of other lengths are passed over."""
     runs = F.filter(F.regexp_extract_all(F.coalesce(cite, F.lit("")), F.lit(r"(?U)(\d+)")), lambda d: F.length(d).isin(1, 2, 4))
-    last = last_item(runs)
-    return F.when(F.length(last) == 4, F.substring(last, 3, 2)).otherwise(F.lpad(last, 2, "0"))
+    return F.right(F.concat(F.lit("0"), last_item(runs)), F.lit(2))
 
 
 def cite_year_strict(cite: Column) -> Column:
@@ -261,10 +264,17 @@ def short_cite(text: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in SHORT_CITES))
 
 
-def strong_fullcite(text: Column, most_words: int = 120) -> Column:
+# The longest full citation in words, what an address, a year and a mark of access look like.
+FULLCITE_WORDS = 80
+FULLCITE_SIGNS = (r"(?i)https?://[^\s<>\"')\]]", r"(?U)\b(?:19|20)\d{2}\b", r"(?i)\b(?:accessed|access date|date of access|retrieved)\b", r"\bDOA\b")
+
+
+def strong_fullcite(text: Column, most_words: int = FULLCITE_WORDS) -> Column:
     """Whether a paragraph of at most ``most_words`` words carries an address, a year of
     19xx or 20xx or a mark of access."""
-    signal = text.rlike(r"(?i)https?://\S") | text.rlike(r"\b(?:19|20)\d{2}\b") | text.rlike(r"(?i)\b(?:accessed|retrieved)\b|\bDOA\b")
+    signal = F.lit(False)
+    for sign in FULLCITE_SIGNS:
+        signal = signal | text.rlike(sign)
     return F.coalesce(signal & (words_spoken(text) <= most_words), F.lit(False))
 
 

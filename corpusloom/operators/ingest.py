@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..plans.staging import Stage
 
 RECOVERED_LEAST = 40
 _PAYLOAD = "tag string, body_text string, is_analytic string"
@@ -126,7 +127,8 @@ def external_number(external_id: Column) -> Column:
 
 def get_or_create(wanted: DataFrame, natural: Sequence[str], existing: DataFrame, id_col: str = "id") -> DataFrame:
     """``existing`` (id and natural key) plus rows for the keys of ``wanted`` it has not,
-    numbered on in the order of the key. Null in a key equals null."""
+    numbered on in the order of the key. Null in a key equals null. Everything is read at
+    once, so rows that are numbered keep their numbers whatever changes afterwards."""
     same = None
     for c in natural:
         test = F.col(f"w.{c}").eqNullSafe(F.col(f"e.{c}"))
@@ -137,15 +139,30 @@ def get_or_create(wanted: DataFrame, natural: Sequence[str], existing: DataFrame
     return existing.select(id_col, *natural).unionByName(ranked.select((F.col("_top") + F.col("_n")).cast("long").alias(id_col), *natural))
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """1, 2, ... in ``order`` without one task for all rows: rows are numbered within
-    range partitions, the sizes of which are added up."""
-    parts = df.repartitionByRange(*(F.col(c).asc_nulls_first() for c in order)).withColumn("_p", F.spark_partition_id())
-    inner = Window.partitionBy("_p").orderBy(*(F.col(c).asc_nulls_first() for c in order))
-    numbered = parts.withColumn("_i", F.row_number().over(inner))
-    sizes = numbered.groupBy("_p").agg(F.max("_i").alias("_c"))  # one row per partition
+def number_rows(df: DataFrame, order: Sequence[str], name: str, stage: Stage | None = None) -> DataFrame:
+    """1, 2, ... in ``order`` (nulls first) without one task for all rows; rows that are
+    equal in ``order`` follow each other in no particular order. An empty frame stays empty."""
+    placed = ranged(df, [F.col(c).asc_nulls_first() for c in order], stage or Stage(df.sparkSession, "numbered"))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))  # one row per partition
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+    return placed.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def ranged(df: DataFrame, order: Sequence[Column], stage: Stage) -> DataFrame:
+    """``df`` in range partitions of ``order``, with the number of each row's partition
+    (``_p``) and its place in there from 1 (``_i``).
+
+    Bounds are sampled, so two plans over one frame would have two sets of them: the rows
+    are written once with their places, and whatever is derived reads the stored table. Rows
+    that are equal in ``order`` are told apart by a hash of all they hold, so no range
+    partition gets all rows of a frequent value.
+    """
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "struct", "array", "variant"))]
+    order = [*order, F.xxhash64(*plain)]
+    # partition number and place of a row, as Spark packs them
+    at = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    at = at.withColumns({"_p": F.shiftright("_at", 33), "_i": F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + 1})
+    return stage.write(at.drop("_at"), "ranged")
 
 
 def index_rows(cards: DataFrame, variants: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from html import escape
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ingest import number_rows
+from ..plans.staging import Stage
+from .ingest import number_rows, ranged
 
 
 def published_cards(cards: DataFrame, variants: DataFrame, events: DataFrame, card_topics: DataFrame) -> DataFrame:
@@ -29,23 +30,34 @@ def value_order() -> list[Column]:
     return [F.desc("team_count"), F.desc("body_len"), F.asc("card_id")]
 
 
-def capped(cards: DataFrame, cap: int, size: Column, drop_analytics: bool = True) -> DataFrame:
+def capped(cards: DataFrame, cap: int, size: Column, drop_analytics: bool = True, stage: Stage | None = None) -> DataFrame:
     """The most valuable cards that fit into ``cap`` bytes: all if they fit, else evidence
-    only, and of that the longest prefix in order of value. The running size is a sum within
-    range partitions plus the sums of those before."""
-    rows = cards.withColumn("_size", size.cast("long"))
-    total, evidence = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("is_analytic"), F.col("_size"))), F.lit(0))).first()
+    only, and of that the longest prefix in order of value.
+
+    Cards are written in range partitions of that order; by the sums of the partitions
+    each is kept or dropped whole but the one in which the cap is reached, and only in that
+    one sizes are added up row by row. A null is_analytic counts as evidence, a null size as 0."""
+    stage = stage or Stage(cards.sparkSession, "capped")
+    analytic = F.coalesce("is_analytic", F.lit(False))
+    rows = cards.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0)))
+    total, evidence = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.sum(F.when(~analytic, F.col("_size"))), F.lit(0))).first()
     if total <= cap:
         return rows.drop("_size")
     if drop_analytics:
-        rows = rows.where(~F.col("is_analytic"))
+        rows = rows.where(~analytic)
         if evidence <= cap:
             return rows.drop("_size")
-    parts = rows.repartitionByRange(*value_order()).withColumn("_p", F.spark_partition_id())
-    run = parts.withColumn("_run", F.sum("_size").over(Window.partitionBy("_p").orderBy(*value_order()).rowsBetween(Window.unboundedPreceding, 0)))
-    sums = run.groupBy("_p").agg(F.max("_run").alias("_sum"))  # one row per partition
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return run.join(F.broadcast(before.select("_p", "_before")), "_p").where(F.col("_run") + F.col("_before") <= cap).drop("_p", "_run", "_before", "_size")
+    placed = ranged(rows, value_order(), stage)
+    used, edge = 0, -1
+    sums = sorted((r["_p"], r["s"]) for r in placed.groupBy("_p").agg(F.sum("_size").alias("s")).collect())  # one row per partition
+    for edge, s in sums:  # noqa: B007
+        if used + s > cap:
+            break
+        used += s
+    whole = placed.where(F.col("_p") < edge).drop("_size", "_p", "_i")
+    run = F.sum("_size").over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    cut = placed.where(F.col("_p") == edge).withColumn("_run", run).where(F.col("_run") <= cap - used)
+    return whole.unionByName(cut.drop("_size", "_p", "_i", "_run"))
 
 
 def write_published(cards: DataFrame, path: str, rows_per_file: int = 500_000) -> None:

@@ -14,14 +14,16 @@ from .registry import query
 from .search import Tables, search
 from .staging import Stage
 
-_CITES = "FROM (SELECT cite FROM card_records UNION SELECT cite FROM cards UNION SELECT fullcite FROM cards WHERE length(fullcite) < 60) WHERE cite IS NOT NULL"
+_SHORT = "FROM (SELECT cite FROM card_records UNION SELECT cite FROM cards) WHERE cite IS NOT NULL"
+_CITES = "FROM (SELECT cite FROM card_records UNION SELECT cite FROM cards UNION SELECT fullcite FROM cards) WHERE cite IS NOT NULL"
 
 
-def _cites(spark, sf):
-    """Short citations, and full ones that are no longer than that."""
+def _cites(spark, sf, full: bool = True):
+    """All distinct short citations and, with ``full``, full ones."""
     c = Corpus(spark, sf)
-    cards = c.table("cards", "cite", "fullcite")
-    both = c.table("card_records", "cite").unionByName(cards.select("cite")).unionByName(cards.where(F.length("fullcite") < 60).select(F.col("fullcite").alias("cite")))
+    both = c.table("card_records", "cite").unionByName(c.table("cards", "cite"))
+    if full:
+        both = both.unionByName(c.table("cards", "fullcite").select(F.col("fullcite").alias("cite")))
     return both.where("cite is not null").distinct()
 
 
@@ -42,10 +44,10 @@ def _(spark, sf):
 
 @query("q_x7_cites_compatible", f"""
 WITH c AS (SELECT cite, list_filter(regexp_extract_all(cite, '(?:^|[^0-9A-Za-z])([0-9]{{4}}|[0-9]{{2}})(?:$|[^0-9A-Za-z])', 1), lambda x: length(x) = 2 OR x[1:2] IN ('19', '20'))[-1][-2:] AS y,
-  list_filter(list_distinct(string_split({norm('cite')}, ' ')), lambda w: w NOT IN ('and', 'et', 'al', '') AND NOT regexp_matches(w, '^[0-9]+$')) AS w {_CITES})
+  list_filter(list_distinct(string_split({norm('cite')}, ' ')), lambda w: w NOT IN ('and', 'et', 'al', '') AND NOT regexp_matches(w, '^[0-9]+$')) AS w {_SHORT})
 SELECT a.cite AS a, b.cite AS b FROM c a JOIN c b ON a.y = b.y AND a.cite < b.cite WHERE list_has_any(a.w, b.w)""")
 def _(spark, sf):
-    c = _cites(spark, sf).select("cite", X.cite_year_strict(F.col("cite")).alias("y"), X.author_tokens(F.col("cite")).alias("w"))
+    c = _cites(spark, sf, full=False).select("cite", X.cite_year_strict(F.col("cite")).alias("y"), X.author_tokens(F.col("cite")).alias("w"))
     # an author in common is an equality on the exploded words; the year joins with it
     words = c.select("cite", "y", F.explode("w").alias("word"))
     pairs = words.select(F.col("cite").alias("a"), "y", "word").join(words.select(F.col("cite").alias("b"), "y", "word"), ["y", "word"]).where("a < b")
@@ -107,9 +109,13 @@ def _(spark, sf):
     return Corpus(spark, sf).table("cards", "id", "tag").select("id", F.size(X.content_words(F.col("tag"))).cast("long").alias("n"))
 
 
-@query("q_x24_strong_fullcite", "SELECT id, coalesce(regexp_matches(fullcite, '(?i)https?://\\S') OR regexp_matches(fullcite, '\\b(?:19|20)\\d{2}\\b') OR regexp_matches(fullcite, '(?i)\\b(?:accessed|retrieved)\\b|\\bDOA\\b'), false) AS strong FROM cards")
+@query("q_x24_strong_fullcite", """SELECT id, coalesce((regexp_matches(fullcite, '(?i)https?://[^\\s<>"'')\\]]') OR regexp_matches(fullcite, '\\b(?:19|20)\\d{2}\\b') OR regexp_matches(fullcite, '(?i)\\b(?:accessed|access date|date of access|retrieved)\\b') OR regexp_matches(fullcite, '\\bDOA\\b'))
+ AND len(list_filter(string_split_regex(fullcite, '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+'), lambda x: x <> '')) <= 80, false) AS strong FROM (SELECT id, fullcite FROM cards UNION ALL SELECT -id, body_text FROM cards)""")
 def _(spark, sf):
-    return Corpus(spark, sf).table("cards", "id", "fullcite").select("id", X.strong_fullcite(F.col("fullcite"), 100_000).alias("strong"))
+    """Full citations, and the bodies as paragraphs that are none."""
+    c = Corpus(spark, sf).table("cards", "id", "fullcite", "body_text")
+    both = c.select("id", "fullcite").unionByName(c.select((-F.col("id")).alias("id"), F.col("body_text").alias("fullcite")))
+    return both.select("id", X.strong_fullcite(F.col("fullcite")).alias("strong"))
 
 
 @query("q_p4_side_label", "SELECT id, CASE WHEN upper(trim(side)) IN ('P','PRO','A','AFF','AFFIRMATIVE','1') THEN 'Pro' WHEN upper(trim(side)) IN ('C','CON','N','NEG','NEGATIVE','2') THEN 'Con' END AS side FROM (SELECT DISTINCT id, side FROM rounds)")

@@ -17,10 +17,14 @@ _roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a private folder only where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``; where none is set, a private folder in a local
+    session. On a cluster every executor would write to its own disk there, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor reaches")
     app = spark.sparkContext.applicationId
     if app not in _roots:
         _roots[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from ..functions.dateparse import MONTHS
-from ..functions.text import SHORT_CITES
+from ..functions.text import FULLCITE_WORDS, SHORT_CITES
 
 # Limits of the readers, in words, characters and points.
-CITE_WORDS, LEAD_WORDS, EVIDENCE_WORDS, TAG_WORDS, LOOSE_WORDS = 80, 60, 40, 40, 120
+CITE_WORDS, LEAD_WORDS, EVIDENCE_WORDS, TAG_WORDS, LOOSE_WORDS = FULLCITE_WORDS, 60, 40, 40, 120
 DATE_ZONE = 200
 TAG_BOLD_SHARE, TAG_POINTS, SMALL_POINTS = 0.8, 12.5, 9.0
 

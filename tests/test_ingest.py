@@ -82,6 +82,28 @@ def test_numbering_and_get_or_create(spark):
     assert made == {("a", None): 4, ("b", None): 5, ("b", "x"): 6}
 
 
+def test_numbers_and_caps_beyond_what_bounds_are_sampled_from(spark):
+    """More rows and partitions than the range sampler looks at, with further columns, ties and a frequent value."""
+    from corpusloom.operators.publish import capped
+
+    n = 2_000_000
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id"))
+    df = spark.range(0, n, 1, 200).select(key.alias("k"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("txt"), "id")
+    got = I.number_rows(df, ["k"], "n")
+    assert got.agg(F.countDistinct("n"), F.min("n"), F.max("n"), F.count("*")).first()[:] == (n, 1, n, n)
+    ends = got.groupBy("k").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.count("*").alias("c"))
+    assert ends.where("b - a + 1 <> c").isEmpty()  # in order: equal keys follow each other
+    assert got.where("k = 0").count() == ends.where("k = 0").first().c
+    cards = spark.range(0, 1_000_000, 1, 200).select(F.col("id").alias("card_id"), F.lit(False).alias("is_analytic"), (F.xxhash64("id") % 1000).alias("team_count"), F.lit(9).alias("body_len"), F.lit("x").alias("body_text"))
+    kept = capped(cards, 333_333, F.lit(1))
+    assert kept.count() == 333_333
+    least = kept.agg(F.min("team_count")).first()[0]
+    assert cards.where(F.col("team_count") > least).join(kept.select("card_id"), "card_id", "left_anti").isEmpty()
+    edge = kept.where(F.col("team_count") == least).agg(F.max("card_id")).first()[0]
+    assert cards.where((F.col("team_count") == least) & (F.col("card_id") <= edge)).join(kept.select("card_id"), "card_id", "left_anti").isEmpty()
+    assert capped(cards, 0, F.lit(1)).isEmpty() and capped(cards.limit(0), 5, F.lit(1)).isEmpty()
+
+
 def test_merges_move_rows_without_doubling(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, "z")], "card_id bigint, bucket string")
     final = spark.createDataFrame([(2, 1)], "old_id bigint, survivor_id bigint")
