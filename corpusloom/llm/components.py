@@ -180,16 +180,26 @@ def _member_forest(bound: int):
     return run
 
 
-def member_edges(members: DataFrame, stage: Stage, bound: int = 200_000) -> DataFrame:
-    """Edges (node, root) that tie all nodes of one key, from rows (node long, key string).
+def member_forests(members: DataFrame, stage: Stage, bound: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(node, root) edges and (key, node) heads that together tie all nodes of one key, from
+    rows (node long, key string).
 
-    Each partition first runs union-find over its own rows, so that a key, however many
-    rows it has, leaves one row per partition (and ``bound`` rows) for the exchange.
+    Each partition runs union-find over its own rows, so that a key, however many rows it
+    has, leaves one head per partition (and ``bound`` rows).
     """
     node, key = members.columns[:2]
     rows = members.select(F.col(node).alias("node"), F.col(key).cast("string").alias("key")).where("node is not null and key is not null")
     local = stage.write(rows.mapInArrow(_member_forest(bound), "key string, node bigint, root bigint"), "members")
-    heads = local.where("key is not null").select("key", "node")
+    return local.where("key is null").select("node", "root"), local.where("key is not null").select("key", "node")
+
+
+def key_edges(heads: DataFrame) -> DataFrame:
+    """(node, root) edges between the heads of one key."""
     least = heads.groupBy("key").agg(F.min("node").alias("root"))
-    across = heads.join(least, "key").where("node <> root").select("node", "root")
-    return local.where("key is null").select("node", "root").unionByName(across)
+    return heads.join(least, "key").where("node <> root").select("node", "root")
+
+
+def member_edges(members: DataFrame, stage: Stage, bound: int = 200_000) -> DataFrame:
+    """Edges (node, root) that tie all nodes of one key, from rows (node long, key string)."""
+    edges, heads = member_forests(members, stage, bound)
+    return edges.unionByName(key_edges(heads))

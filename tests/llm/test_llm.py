@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -257,41 +258,66 @@ def test_history_handed_over_in_calls(spark):
     assert {g for g, k in want if k in new} - new and call([], path) == want == call(first[:9], path)
 
 
-def test_index_survives_restart_and_compacts(spark):
+def test_history_call_by_call(spark):
+    """A call per batch, opened anew each time, gives what one call over all gives; shards merge on the way."""
     rows = _corpus(4, 60)
-    df = spark.createDataFrame([(k, False, t) for k, t in rows], "rep bigint, kind boolean, text string")
+    records = [(k, k % 6, f"HF-{k % 50:04d}" if k % 5 == 0 else None, None, t, None, None, "x", "y") for k, t in rows]
     stage = Stage(spark, "test")
-    reps = stage.write(features.describe(df, "rep").select("rep", "s0", "s1", "bands").withColumn("b", F.pmod("rep", F.lit(6)).cast("int")), "reps")
-    pairs = set()
     for b in range(6):
-        index = graphindex.HistoryIndex(spark, stage.path("index"), query_rows=10)  # opened anew each time
-        own = reps.where(F.col("b") == b).drop("b")
-        index.add(own, f"b{b}", own.count(), stage.path(f"found/b={b}"))
-        pairs |= {(r.a, r.b) for r in spark.read.schema("a bigint, b bigint").parquet(stage.path(f"found/b={b}")).collect()}
-    assert len(index.live) < 6 and sum(e["n"] for e in index.live) == reps.count()
-    assert _links(rows) <= pairs
-
-
-def test_graph_recall():
-    rows = _corpus(6, 400)
+        one = spark.createDataFrame([r for r in records if r[1] == b], RECORD)
+        if b == 3:  # a call that fails before it commits leaves nothing that counts
+            broken = history.History(spark, stage.path("index"))
+            broken.index.commit = lambda call: 1 / 0
+            with pytest.raises(ZeroDivisionError):
+                broken.accept(one)
+        history.History(spark, stage.path("index")).accept(one)
+    index = history.History(spark, stage.path("index"))
+    got = {tuple(r) for r in index.first_accepted().collect()}
+    assert got == {tuple(r) for r in history.first_accepted(spark.createDataFrame(records, RECORD)).collect()} and got
+    assert len(index.index.live) < 6 and len(index.index.calls) == 6
+    folders = {f.getPath().getName() for f in index.index._fs.listStatus(index.index._path(stage.path("index"))) if f.isDirectory()}
+    assert folders == {*index.index.calls, *(e["name"] for e in index.index.live)}
+
+
+def _texts(rows):
     h = T.WordHasher()
     hashed = [h(T.words(t)) for _, t in rows]
     runs = [T.shingles(x, features.RUN) for x in hashed]
     starts = np.cumsum([0, *map(len, runs[:-1])])
     mins = T.minhashes(np.concatenate(runs), starts, features.HASHES)
     bands = np.ascontiguousarray(T.band_keys(mins[: features.ROWS * features.BANDS], features.ROWS).T.astype(np.uint32))
-    codes = T.sketch_bits(mins)
-    shard = graphindex.Shard(np.arange(len(rows)), codes, bands)
-    again = graphindex.Shard.from_bytes(shard.to_bytes())
-    assert (again.links == shard.links).all()
-    q, node = again.neighbours(codes, bands)
-    found = {(min(a, b), max(a, b)) for a, b in zip(q.tolist(), node.tolist(), strict=True) if a != b}
-    true = {(a - 1, b - 1) for a, b in _links(rows)}
-    assert len(found & true) >= 0.99 * len(true)
-    # a full beam is widened: a cluster larger than the beam comes out whole
-    same = graphindex.Shard(np.arange(200), np.repeat(codes[:1], 200, axis=0), np.repeat(bands[:1], 200, axis=0))
-    q, node = same.neighbours(codes[:1], bands[:1])
-    assert len(set(node.tolist())) == 200
+    ends = np.cumsum([len(x) for x in hashed])
+    return graphindex.Texts(np.array([k for k, _ in rows]), np.zeros(len(rows), bool), T.sketch_bits(mins), bands, np.concatenate(hashed).astype(np.uint32), ends)
+
+
+def test_graph_links_every_component():
+    rows = _corpus(6, 400)
+    texts = _texts(rows)
+    half = len(rows) // 2
+    old = graphindex.Shard.from_bytes(graphindex.Shard(texts.take(np.arange(half))).to_bytes())
+    new = graphindex.Shard(texts.take(np.arange(half, len(rows))))
+    q, node = old.linked(new.texts)
+    edges = [(old.ids[x], old.ids[y]) for x, y in graphindex.Shard(old.texts).pairs] + [(new.ids[x], new.ids[y]) for x, y in new.pairs] + list(zip(new.ids[q], old.ids[node], strict=True))
+    assert set(_groups(edges)) == set(_groups(_links(rows)))
+    merged = graphindex.Shard.merged([old, new, old])  # repeated texts once
+    assert len(merged.ids) == len({texts.words_of(k).tobytes() for k in range(len(rows))})
+    by = dict(zip(merged.ids.tolist(), merged.component.tolist(), strict=True))
+    assert all(by[a] == by[b] for a, b in _links(rows) if a in by and b in by)
+    got, every = old.recall(old.codes, old.bands)
+    assert got >= 0.5 * every > 0
+
+
+def test_a_cluster_gives_a_spanning_set():
+    """Ten thousand near texts: seconds, and links in proportion to the texts."""
+    rng = random.Random(3)
+    base = _text(rng, 120)
+    rows = [(k, _edited(rng, base, 3)) for k in range(10_000)]
+    began = time.perf_counter()
+    shard = graphindex.Shard(_texts(rows))
+    q, _ = shard.linked(_texts([(k, _edited(rng, base, 3)) for k in range(20_000, 22_000)]))
+    assert time.perf_counter() - began < 120
+    assert len(set(shard.component.tolist())) == 1 and len(shard.pairs) == 9_999
+    assert len(set(q)) == len(q) == 2_000
 
 
 # --- 6: merkle ------------------------------------------------------------------------------
