@@ -8,7 +8,6 @@ it, so a lost executor costs a re-read and never a failed job.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -56,13 +55,6 @@ class Stage:
     def drop(self, table: str) -> None:
         self._delete(self.path(table))
 
-    def release(self) -> None:
-        """Let go of the shuffle files of finished plans. Spark deletes them once the driver's
-        collector finds a plan unreachable, which may be long after a stage of many steps
-        has filled the disks."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def clear(self) -> None:
         if not self._gone:
             self._gone = True
