@@ -23,40 +23,58 @@ _TYPES = [
 ]
 
 
-def _describe(batch: pa.RecordBatch, hasher: T.WordHasher) -> pa.RecordBatch:
+def _describe(batch: pa.RecordBatch, hasher: T.WordHasher, once: list[str] | None, seen: set) -> pa.RecordBatch:
     names = [n for n in batch.schema.names if n != "text"]
     texts = batch.column("text").to_pylist()
     hashed = [hasher(w) if (w := T.words(t)) else None for t in texts]
     keep = [k for k, h in enumerate(hashed) if h is not None]
     hashed = [hashed[k] for k in keep]
-    runs = [T.shingles(h, RUN) for h in hashed]
+    kinds = batch.column("kind").take(pa.array(keep, pa.int64()))
+    digests = [xxhash.xxh3_128_intdigest(h.tobytes()) for h in hashed]
+    keys = np.array([[d & (2**64 - 1), d >> 64] for d in digests], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    rest = [batch.column(n).take(pa.array(keep, pa.int64())) for n in names if n != "kind"]
+    fresh = list(range(len(keep)))
+    if once is not None:
+        scope = [batch.column(n).take(pa.array(keep, pa.int64())).to_pylist() for n in ("kind", *once)]
+        fresh = []
+        for k, place in enumerate(zip(digests, *scope, strict=True)):
+            if place not in seen:
+                seen.add(place)
+                fresh.append(k)
+        if len(seen) > 1 << 20:
+            seen.clear()
+    runs = [T.shingles(hashed[k], RUN) for k in fresh]
     starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])[:-1]]).astype(np.int64) if runs else np.zeros(0, np.int64)
     mins = T.minhashes(np.concatenate(runs) if runs else np.zeros(0, np.uint64), starts, HASHES)
     bands = T.band_keys(mins[: ROWS * BANDS], ROWS)
-    kinds = batch.column("kind").take(pa.array(keep, pa.int64()))
-    salt = np.where(np.array(kinds.to_pylist(), dtype=bool), np.int64(0x51A7_0001), np.int64(0))
+    salt = np.where(np.array(kinds.take(pa.array(fresh, pa.int64())).to_pylist(), dtype=bool), np.int64(0x51A7_0001), np.int64(0))
     bands ^= salt[None, :]  # analytics and evidence never meet
-    sketch = T.sketch_bits(mins).view(np.int64) if keep else np.zeros((0, 2), np.int64)
-    keys = np.array([[d & (2**64 - 1), d >> 64] for d in (xxhash.xxh3_128_intdigest(h.tobytes()) for h in hashed)], dtype=np.uint64)
-    keys = keys.reshape(-1, 2).view(np.int64)
+    sketch = T.sketch_bits(mins).view(np.int64) if fresh else np.zeros((0, 2), np.int64)
     flat = pa.array(np.ascontiguousarray(bands.T).ravel(), pa.int64())
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * BANDS, pa.int32()), flat)
-    words = pa.array([h.astype(np.uint32).tobytes() for h in hashed], pa.binary())
-    rest = [batch.column(n).take(pa.array(keep, pa.int64())) for n in names if n != "kind"]
-    own = [kinds, pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), words]
-    return pa.RecordBatch.from_arrays(rest + own, names=[n for n in names if n != "kind"] + [n for n, _ in _TYPES])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1) * BANDS, pa.int32()), flat)
+    words = pa.array([hashed[k].astype(np.uint32).tobytes() for k in fresh], pa.binary())
+    own = [lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), words]
+    if len(fresh) < len(keep):  # the others carry their key only
+        at = np.full(len(keep), -1, np.int64)
+        at[fresh] = np.arange(len(fresh))
+        own = [c.take(pa.array(at, mask=at < 0)) for c in own]
+    return pa.RecordBatch.from_arrays([*rest, kinds, pa.array(keys[:, 0]), pa.array(keys[:, 1]), *own], names=[n for n in names if n != "kind"] + [n for n, _ in _TYPES])
 
 
-def describe(df: DataFrame, *carried: str) -> DataFrame:
+def describe(df: DataFrame, *carried: str, once: list[str] | None = None) -> DataFrame:
     """``carried`` columns, kind, an exact 128-bit key of the normal form, band keys, a
     128-bit sketch (one bit of each minimum hash) and the hashed words of each row's
-    ``text``. Rows without a word in their text are left out; ``kind`` must not be null."""
+    ``text``. Rows without a word in their text are left out; ``kind`` must not be null.
+
+    With ``once`` (columns, maybe none), of the rows of a partition that agree in these, in
+    kind and in normal form the first carries what is known of the text and the others, as
+    far as a million distinct ones can tell, their key only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = T.WordHasher()
+        hasher, seen = T.WordHasher(), set()
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
-                yield _describe(batch.slice(start, 2048), hasher)
+                yield _describe(batch.slice(start, 2048), hasher, once, seen)
 
     df = df.select(*carried, "kind", "text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in carried)

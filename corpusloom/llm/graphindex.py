@@ -76,7 +76,7 @@ class Texts:
         n = rows.num_rows
         whole = [c.combine_chunks() if isinstance(c := rows.column(name), pa.ChunkedArray) else c for name in ("rep", "kind", "s0", "s1", "bands", "words")]
         ids, kinds, s0, s1 = (c.to_numpy(zero_copy_only=False) for c in whole[:4])
-        bands = whole[4].flatten().to_numpy().astype(np.uint32)  # folded to their low half
+        bands = whole[4].flatten().to_numpy().view(np.uint32)  # folded to their low half
         words = [np.frombuffer(w, np.uint32) for w in whole[5].to_pylist()]
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         codes = np.stack([s0, s1], axis=1).view(np.uint64) if n else np.zeros((0, 2), np.uint64)
@@ -164,7 +164,12 @@ class Shard:
         """One shard of all, repeated texts left out, built from what the shards hold."""
         before = np.cumsum([0, *(len(s.ids) for s in shards[:-1])])
         component = np.concatenate([s.component + b for s, b in zip(shards, before, strict=True)])
-        texts = Texts.joined([s.texts for s in shards])
+        return cls.distinct(Texts.joined([s.texts for s in shards]), component)
+
+    @classmethod
+    def distinct(cls, texts: Texts, component: np.ndarray | None = None) -> Shard:
+        """A shard of the distinct texts, with what is known of their components."""
+        component = np.arange(len(texts)) if component is None else component
         first: dict[bytes, int] = {}
         groups = _Groups(component)
         keep = []
@@ -420,12 +425,12 @@ def _build(name: str):
             shard = batch.column("shard").to_numpy()
             for s in np.unique(shard).tolist():
                 if s != number and held:
-                    yield _rows(Shard(Texts.of(pa.Table.from_batches(held))), name, number)
+                    yield _rows(Shard.distinct(Texts.of(pa.Table.from_batches(held))), name, number)
                     held = []
                 number = s
                 held.append(batch.filter(pa.array(shard == s)))
         if held:
-            yield _rows(Shard(Texts.of(pa.Table.from_batches(held))), name, number)
+            yield _rows(Shard.distinct(Texts.of(pa.Table.from_batches(held))), name, number)
 
     return run
 
@@ -447,18 +452,23 @@ def _sliced(keys: np.ndarray, ranges: int) -> list[tuple[int, int]]:
 
 
 def _pack_queries(ranges: int):
-    """Band keys of queries (with their id and own place) in blobs, one per range of keys:
-    few rows to shuffle, not one per key."""
+    """Band keys of queries in blobs, one per range of keys, each with the number of its
+    query, and the ids and own places of the queries: few rows to shuffle, not one per key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("bands").flatten().to_numpy().astype(np.uint32)
-            order = np.argsort(keys, kind="stable")
-            row = order // (len(keys) // max(batch.num_rows, 1) or 1)
-            keys, rep, own = keys[order], batch.column("rep").to_numpy()[row], batch.column("own").to_numpy()[row].astype(np.int32)
-            cut = [(r, *(x[a:b].tobytes() for x in (keys, rep, own))) for r, (a, b) in enumerate(_sliced(keys, ranges)) if b > a]
-            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cut], t) for k, t in enumerate(types)], names=["r", "keys", "rep", "own"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2**16):
+                batch = whole.slice(begin, 2**16)
+                keys = batch.column("bands").flatten().to_numpy().view(np.uint32)
+                order = np.argsort(keys, kind="stable")
+                row = (order // (len(keys) // batch.num_rows)).astype(np.uint16)
+                keys, rep, own = keys[order], batch.column("rep").to_numpy(), batch.column("own").to_numpy().astype(np.int32)
+                cut = []
+                for r, (a, b) in enumerate(_sliced(keys, ranges)):
+                    asked, at = np.unique(row[a:b], return_inverse=True)
+                    cut.append((r, keys[a:b].tobytes(), at.astype(np.uint16).tobytes(), rep[asked].tobytes(), own[asked].tobytes()))
+                types = (pa.int32(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cut], t) for k, t in enumerate(types)], names=["r", "keys", "row", "rep", "own"])
 
     return run
 
@@ -479,10 +489,11 @@ def _route(queries: pa.Table, shards: pa.Table) -> pa.Table:
     """(rep, place): the shards before its own that hold a band key of a query."""
     reps, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     held = [(p, np.frombuffer(k, np.uint32)) for p, k in zip(shards.column("place").to_pylist(), shards.column("keys").to_pylist(), strict=True)]
-    for data in zip(*(queries.column(c).to_pylist() for c in ("keys", "rep", "own")), strict=True):
-        keys, rep, own = (np.frombuffer(d, t) for d, t in zip(data, (np.uint32, np.int64, np.int32), strict=True))
+    for data in zip(*(queries.column(c).to_pylist() for c in ("keys", "row", "rep", "own")), strict=True):
+        keys, row, rep, own = (np.frombuffer(d, t) for d, t in zip(data, (np.uint32, np.uint16, np.int64, np.int32), strict=True))
         for place, theirs in held:
-            found = np.unique(rep[(own > place) & _within(keys, theirs)])
+            asked = np.unique(row[_within(keys, theirs)])
+            found = rep[asked[own[asked] > place]]
             reps.append(found)
             places.append(np.full(len(found), place, np.int32))
     return pa.table({"rep": np.concatenate(reps), "place": np.concatenate(places)})
@@ -556,14 +567,15 @@ class HistoryIndex:
         rows = self.spark.read.schema(_SHARD_DDL).parquet(f"{self.path}/{name}/part=graph").select("shard", "n").collect()  # one row per shard
         return [{"name": name, "shard": r["shard"], "n": r["n"]} for r in rows]
 
-    def add(self, reps: DataFrame, sizes: list[tuple[int, int, int]], name: str, stage: Stage) -> DataFrame:
+    def add(self, texts: DataFrame, sizes: list[tuple[int, int, int]], name: str, stage: Stage) -> DataFrame:
         """Links (a, b) of some batches to the history, to each other and within themselves;
         the batches become shards under ``name``.
 
-        ``reps`` is a stored table (batch_no, rep, kind, s0, s1, bands, words) in which the
-        copies of one text in a batch are one row, ``sizes`` has (batch_no, rows, words) of
-        each batch in order. A shard belongs to one batch. All are built side by side; then
-        every text is searched in the shards before its own.
+        ``texts`` is a stored table (batch_no, rep, kind, spread, s0, s1, bands, words); rows
+        of one text in a batch have the same ``spread``, and it should have few of them.
+        ``sizes`` has (batch_no, rows, words) of each batch in order. A shard belongs to one
+        batch. All are built side by side; then every text is searched in the shards before
+        its own.
         """
         if not sizes:
             return self.spark.createDataFrame([], _PAIR_DDL)
@@ -572,8 +584,8 @@ class HistoryIndex:
             plan.append((number, first, count := max(1, -(-n // self.shard_rows), -(-words // SHARD_WORDS))))
             first += count
         numbers = self.spark.createDataFrame(plan, "batch_no int, first int, parts int")
-        parted = reps.join(F.broadcast(numbers), "batch_no")  # one row per batch
-        parted = parted.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")).drop("batch_no", "first", "parts")
+        parted = texts.join(F.broadcast(numbers), "batch_no")  # one row per batch
+        parted = parted.withColumn("shard", (F.col("first") + F.pmod("spread", F.col("parts"))).cast("int")).drop("batch_no", "spread", "first", "parts")
         built = parted.repartitionById(first, "shard").mapInArrow(_build(name), _OUT_DDL)
         history = list(self.live)
         self.live += self._write(built, name)
@@ -581,24 +593,24 @@ class HistoryIndex:
         if len(self.live) < 2:
             return links
         queries = parted.withColumn("own", F.col("shard") + len(history)).drop("shard")
-        return links.unionByName(self.search(queries, sum(n for _, n, _ in sizes), sorted(self.live[len(history):], key=lambda e: e["shard"]), history, stage))
+        return links.unionByName(self.search(queries, sorted(self.live[len(history):], key=lambda e: e["shard"]), history, stage))
 
-    def search(self, queries: DataFrame, size: int, own: list[dict], history: list[dict], stage: Stage) -> DataFrame:
+    def search(self, queries: DataFrame, own: list[dict], history: list[dict], stage: Stage) -> DataFrame:
         """Links (a, b) of the queries with the shards before their own."""
         entries = [*history, *own]
         ranges = max(self.spark.sparkContext.defaultParallelism, -(-sum(e["n"] for e in entries) // 400_000))
-        asked = queries.select("rep", "own", "bands").mapInArrow(_pack_queries(ranges), "r int, keys binary, rep binary, own binary")
+        asked = queries.select("rep", "own", "bands").mapInArrow(_pack_queries(ranges), "r int, keys binary, row binary, rep binary, own binary")
         held = self._shards(entries, "keys").mapInArrow(_pack_shards(ranges), "r int, place int, keys binary")
-        found = asked.groupBy("r").cogroup(held.groupBy("r")).applyInArrow(_route, "rep bigint, place int").distinct()
-        blocks = max(1, -(-size // self.query_rows))
-        found = stage.write(found.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")), "routes")
-        wanted = [tuple(r) for r in found.groupBy("place").agg(F.collect_set("block").alias("blocks")).collect()]  # one row per shard
+        found = stage.write(asked.groupBy("r").cogroup(held.groupBy("r")).applyInArrow(_route, "rep bigint, place int").distinct(), "routes")
+        wanted = [tuple(r) for r in found.groupBy("place").count().collect()]  # one row per shard
         if not wanted:
             return self.spark.createDataFrame([], _PAIR_DDL)
         visited = self._shards([entries[p] for p, _ in wanted], "graph").withColumnRenamed("place", "now")
-        numbers = self.spark.createDataFrame([(k, p, b) for k, (p, b) in enumerate(wanted)], "now int, place int, blocks array<int>")
-        graphs = visited.join(F.broadcast(numbers), "now").select("place", F.explode("blocks").alias("block"), "graph")
-        rows = found.join(queries.drop("own"), "rep")
+        numbers = [(k, p, -(-n // self.query_rows)) for k, (p, n) in enumerate(wanted)]
+        numbers = self.spark.createDataFrame(numbers, "now int, place int, blocks int")
+        graphs = visited.join(F.broadcast(numbers), "now").select("place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "graph")
+        rows = found.join(F.broadcast(numbers.drop("now")), "place").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows = rows.drop("blocks").join(queries.drop("own"), "rep")
         return stage.write(rows.groupBy("place", "block").cogroup(graphs.groupBy("place", "block")).applyInArrow(_search, _PAIR_DDL), "across")
 
     def compact(self, name: str) -> None:

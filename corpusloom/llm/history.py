@@ -54,16 +54,14 @@ class History:
         # a name of its own for every attempt, so that none overwrites what another has written
         call = f"call-{len(self.index.calls)}-{uuid.uuid4().hex}"
         keep = f"{self.index.path}/{call}"
-        features = stage.write(describe(rows, "record_id", "batch_no"), "features")
-        reps = features.groupBy("batch_no", "kind", "key_a", "key_b").agg(
-            F.min("record_id").alias("rep"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("bands").alias("bands"), F.first("words").alias("words")
+        features = stage.write(describe(rows, "record_id", "batch_no", once=["batch_no"]), "features")
+        texts = features.where("words is not null").select(
+            "batch_no", F.col("record_id").alias("rep"), "kind", F.xxhash64("kind", "key_a", "key_b").alias("spread"), "s0", "s1", F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("bands"), "words"
         )
-        reps.select("batch_no", "rep", "kind", "s0", "s1", "bands", "words").write.partitionBy("batch_no").parquet(stage.path("reps"))
-        reps = self.spark.read.schema("rep bigint, kind boolean, s0 bigint, s1 bigint, bands array<bigint>, words binary, batch_no int").parquet(stage.path("reps"))
-        sizes = reps.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words") / 4).cast("long").alias("w"))
         self.index.compact(f"merged-{call}")
+        sizes = texts.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words") / 4).cast("long").alias("w"))
         sizes = sorted((r["batch_no"], r["n"], r["w"]) for r in sizes.collect())  # one row per batch
-        links = self.index.add(reps, sizes, f"shards-{call}", stage)
+        links = self.index.add(texts, sizes, f"shards-{call}", stage)
         form = F.concat_ws("-", F.col("kind").cast("string"), "key_a", "key_b").alias("key")
         members = rows.where("number is not null").select("record_id", F.concat(F.lit("x"), "number").alias("key"))
         ties, heads = member_forests(members.unionByName(features.select("record_id", form)), stage)
