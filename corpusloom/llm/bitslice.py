@@ -13,16 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.staging import Stage
 from .features import BANDS, classes, describe, verified
+from .text import SAME_WORDS
 
 #: Of 128 sketch bits, unrelated texts differ in 64 (deviation 5.7), texts with half of
 #: their word runs in common in 32 (4.9), the weakest true pairs of the test data in 19 (4).
 RADIUS = 44
-#: Larger buckets are compared block against block in tasks of their own.
+#: Larger buckets are parted by the length of texts, since texts of which one is shorter than
+#: four fifths of the other are never the same, and then compared block against block.
 BLOCK = 4096
+#: Rows that a comparing task takes in before it compares (and the rest of the last group).
+TAKEN = 65_536
 _STEP = 32
 #: Words that are compared at once, of as many distances as it takes.
 _WORDS = 4096
@@ -143,13 +147,15 @@ def pairs_in_runs(keys: np.ndarray, s0: np.ndarray, s1: np.ndarray, radius: int)
 
 def _compare(radius: int):
     """Over rows sorted by (bucket, part_i, part_j): the close pairs of each group."""
+    key = ("bucket", "part_i", "part_j")
 
     def groups(rows: pa.Table) -> pa.RecordBatch | None:
-        bucket, i_part, j_part, part, rep, s0, s1 = (rows.column(n).to_numpy() for n in ("bucket", "part_i", "part_j", "part", "rep", "s0", "s1"))
+        bucket, i_part, j_part, part, rep, s0, s1, n_words = (rows.column(n).to_numpy() for n in (*key, "part", "rep", "s0", "s1", "n_words"))
         change = np.ones(len(bucket), dtype=bool)
         change[1:] = (bucket[1:] != bucket[:-1]) | (i_part[1:] != i_part[:-1]) | (j_part[1:] != j_part[:-1])
         i, j = pairs_in_runs(np.cumsum(change), s0, s1, radius)
         ok = (rep[i] != rep[j]) & ((i_part[i] == j_part[i]) | (part[i] != part[j]))
+        ok &= (n_words[i] >= SAME_WORDS * n_words[j]) & (n_words[j] >= SAME_WORDS * n_words[i])
         a, b = np.minimum(rep[i], rep[j])[ok], np.maximum(rep[i], rep[j])[ok]
         if not len(a):
             return None
@@ -162,38 +168,55 @@ def _compare(radius: int):
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size < 65_536:
+            if size < TAKEN:
                 continue
             rows = pa.Table.from_batches(held)
-            bucket = rows.column("bucket").to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1], side="left"))  # the last bucket may go on
+            last = np.ones(size, dtype=bool)  # the last group may go on; it is a block pair at most
+            for name in key:
+                column = rows.column(name).to_numpy()
+                last &= column == column[-1]
+            cut = size - int(last.sum())
             if cut:
                 if (out := groups(rows.slice(0, cut))) is not None:
                     yield out
-                held, size = rows.slice(cut).combine_chunks().to_batches(), len(bucket) - cut
+                held, size = rows.slice(cut).combine_chunks().to_batches(), size - cut
         if size and (out := groups(pa.Table.from_batches(held))) is not None:
             yield out
 
     return run
 
 
+def length_class(n_words: Column) -> Column:
+    """Texts of which one has at least four fifths of the words of the other are of one class or of neighbouring ones."""
+    return F.floor(F.log(n_words.cast("double")) / F.log(F.lit(1 / SAME_WORDS + 1e-9))).cast("long")
+
+
 def candidate_pairs(reps: DataFrame, radius: int = RADIUS, block: int = BLOCK, bands: int = BANDS) -> DataFrame:
-    """Distinct (a, b), a < b, of representatives that share a band key and lie within
-    ``radius`` of each other. ``reps`` has rep, bands, s0 and s1 and should be a stored
-    table: it is read twice. Buckets of more than ``block`` rows are cut into parts and
-    every two parts are compared in a task of their own, so none is collected whole."""
-    rows = reps.select(F.explode(F.slice("bands", 1, bands)).alias("bucket"), "rep", "s0", "s1")
-    sizes = rows.groupBy("bucket").count().where(F.col("count") > block)
-    whole = [F.lit(0).alias(c) for c in ("part_i", "part_j", "part")]
-    if sizes.isEmpty():
+    """Distinct (a, b), a < b, of representatives that share a band key, lie within
+    ``radius`` of each other and are of comparable length. ``reps`` has rep, bands, s0, s1
+    and n_words and should be a stored table: it is read more than once.
+
+    Buckets of more than ``block`` rows are parted by classes of length, and these by hash;
+    a part is compared with the parts of its own class and the neighbouring ones, every two
+    parts in one group, and a task holds a group at a time."""
+    rows = reps.select(F.explode(F.slice("bands", 1, bands)).alias("bucket"), "rep", "s0", "s1", "n_words")
+    hot = rows.groupBy("bucket").count().where(F.col("count") > block).select("bucket")
+    if hot.isEmpty():
+        whole = [F.lit(0).cast("long").alias(c) for c in ("part_i", "part_j", "part")]
         cut = rows.select("*", *whole).repartition("bucket")
     else:
-        parts = sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("n"))
-        split = rows.join(parts, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-        split = split.withColumn("part", F.when(F.col("n") > 1, F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).otherwise(0))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        rows = rows.withColumn("class", length_class(F.col("n_words")))
+        sizes = rows.join(hot, "bucket", "left_semi").groupBy("bucket", "class").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+        near = sizes.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("parts"))  # a class is a quarter longer than the last: some dozens
+        split = rows.join(near, "bucket", "left")
+        n = lambda by: F.coalesce(F.try_element_at("parts", F.col("class") + by), F.lit(0))
+        code = lambda by, k: (F.col("class") + by) * 2**20 + k
+        split = split.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(code(0, F.pmod(F.xxhash64("rep"), F.greatest(n(0), F.lit(1))))))
+        upto = lambda by: F.transform(F.filter(F.sequence(F.lit(0), n(by)), lambda k: k > 0), lambda k: code(by, k - 1))
+        others = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(upto(-1), upto(0), upto(1)))
+        split = split.withColumn("other", F.explode(others))
         cut = split.select(
-            "bucket", "rep", "s0", "s1",
+            "bucket", "rep", "s0", "s1", "n_words",
             F.least("part", "other").alias("part_i"), F.greatest("part", "other").alias("part_j"), "part",
         ).repartition("bucket", "part_i", "part_j")
     cut = cut.sortWithinPartitions("bucket", "part_i", "part_j")
@@ -213,7 +236,7 @@ def near_duplicates(df: DataFrame, stage: Stage | None = None) -> tuple[DataFram
     stage = stage or Stage(df.sparkSession, "bitslice")
     rows = df.select("id", "grp", F.coalesce("kind", F.lit(False)).alias("kind"), "text")
     features = stage.write(describe(rows, "id", "grp"), "features")
-    reps = stage.write(classes(features, "id"), "reps")
+    reps = stage.write(classes(features, "id", F.first(F.octet_length("words") / 4).cast("int").alias("n_words")), "reps")
     candidates = candidate_pairs(reps)
     pairs = stage.write(verified(candidates, features, "id"), "pairs")
     members = features.select("id", "grp", "kind", "key_a", "key_b").join(

@@ -144,11 +144,33 @@ def test_hot_bucket_in_blocks(spark):
     rows = _corpus(2, 10)
     df = spark.createDataFrame([(k, True, t) for k, t in rows], "id bigint, kind boolean, text string")
     stage = Stage(spark, "test")
-    reps = stage.write(features.classes(features.describe(df, "id"), "id"), "reps")
+    reps = stage.write(features.classes(features.describe(df, "id"), "id", (F.first(F.octet_length("words")) / 4).cast("int").alias("n_words")), "reps")
     hot = reps.withColumn("bands", F.array(F.lit(7).cast("bigint")))
     whole = {tuple(r) for r in bitslice.candidate_pairs(hot).collect()}
     cut = {tuple(r) for r in bitslice.candidate_pairs(hot, block=5).collect()}
     assert whole == cut and whole
+    words = {k: len(T.words(t)) for k, t in rows}
+    assert all(min(words[a], words[b]) >= 0.8 * max(words[a], words[b]) for a, b in whole)
+
+
+def test_block_pairs_of_one_bucket_are_compared_one_by_one():
+    """A task that gets many block pairs of one bucket holds one, not all."""
+    rng, taken = np.random.default_rng(2), []
+
+    def batches():
+        for pair in range(40):
+            taken.append(pair)
+            n = 8192
+            part = np.arange(n) % 2
+            yield bitslice.pa.RecordBatch.from_pydict({
+                "bucket": np.full(n, 7), "part_i": np.full(n, pair), "part_j": np.full(n, pair + 100), "part": part * 100 + pair,
+                "rep": np.arange(n) + pair * n, "s0": np.r_[rng.integers(-2**63, 2**63 - 1, n - 2), 1, 1], "s1": np.r_[rng.integers(-2**63, 2**63 - 1, n - 2), 1, 1], "n_words": np.full(n, 100),
+            })
+
+    out = bitslice._compare(3)(batches())
+    first = next(out)
+    assert len(taken) <= bitslice.TAKEN // 8192 + 1
+    assert first.num_rows + sum(b.num_rows for b in out) == 40
 
 
 def test_awkward_texts(spark):
