@@ -3,12 +3,13 @@
 Rows of a group are versions of one record. Each row's value is put into one of a bounded
 number of value classes. From rows with a timestamp it is learned which class follows
 which: a class precedes another in a group if its last sighting there is older than the
-other's first. The votes of all groups make a precedence graph; cycles are condensed and
-its topological levels order the classes. Where timestamps decide, they do; where they are
-missing or equal, the row whose class is topologically latest among the group's wins.
+other's first. The votes of all groups make a precedence graph. Where timestamps decide
+between the versions of a group, they do; where they are missing or equal, the graph gives
+a partial order of the classes that these versions have, and a version of the topologically
+latest class wins.
 
-Both steps are plain aggregations with partial results per partition, so one group may hold
-any share of the rows.
+A group is one aggregation with partial results per partition, down to a row per value
+class, so it may hold any share of the rows; everything after that is row by row.
 """
 
 from __future__ import annotations
@@ -87,27 +88,20 @@ def card_fields() -> list[Field]:
     ]
 
 
-def precedence_levels(votes: list[tuple[int, int, int]]) -> dict[int, int]:
-    """Topological level of each class from (earlier, later, votes): an edge goes the way of
-    the majority, classes on a cycle share a level, later ones have higher levels."""
+def precedence(votes: list[tuple[int, int, int]]) -> dict[int, frozenset[int]]:
+    """For each class those that come after it, from (earlier, later, votes): an edge goes
+    the way of the majority, and what follows by several edges follows. Classes that follow
+    each other round a cycle have no order among themselves."""
     count: dict[tuple[int, int], int] = {}
     for a, b, n in votes:
         count[a, b] = count.get((a, b), 0) + n
     nodes = sorted({x for e in count for x in e})
-    edge = {(a, b) for (a, b), n in count.items() if n > count.get((b, a), 0)}
-    reach = {a: {b for b in nodes if (a, b) in edge} for a in nodes}
+    reach = {a: {b for b in nodes if count.get((a, b), 0) > count.get((b, a), 0)} for a in nodes}
     for k in nodes:  # transitive closure over at most CLASSES nodes
         for a in nodes:
             if k in reach[a]:
                 reach[a] |= reach[k]
-    component = {a: min([a, *(b for b in reach[a] if a in reach[b])]) for a in nodes}
-    below = {c: {component[a] for a in nodes if any(component[b] == c for b in reach[a])} - {c} for c in set(component.values())}
-    level: dict[int, int] = {}
-    while len(level) < len(below):
-        for c in below:
-            if c not in level and below[c] <= level.keys():
-                level[c] = 1 + max((level[x] for x in below[c]), default=-1)
-    return {a: level[component[a]] for a in nodes}
+    return {a: frozenset(b for b in reach[a] if a not in reach[b]) for a in nodes}
 
 
 def _narrow(rows: DataFrame, fields: list[Field], key: str, id_col: str, at: str, trust: str) -> DataFrame:
@@ -118,21 +112,32 @@ def _narrow(rows: DataFrame, fields: list[Field], key: str, id_col: str, at: str
     return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(at).alias("at"), rank.alias("trust"), *cells)
 
 
-def learn_precedence(narrow: DataFrame, fields: list[Field]) -> list[dict[int, int]]:
-    """Levels of the value classes of each field, learned from all rows with a timestamp."""
-    seen = F.array(*(F.when(F.col(f"c{k}").isNotNull(), F.struct(F.lit(k).alias("f"), F.col(f"c{k}").alias("c"))) for k in range(len(fields))))
-    spans = (
-        narrow.where(F.col("at").isNotNull()).select("key", "at", F.explode(F.array_compact(seen)).alias("v"))
-        .groupBy("key", "v.f", "v.c").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        .groupBy("key", "f").agg(F.collect_list(F.struct("c", "first", "last")).alias("s"))  # at most CLASSES + 1 entries
-        .where(F.size("s") > 1)
+def versions(narrow: DataFrame, fields: list[Field]) -> DataFrame:
+    """(key, n, v): the number of rows of each key and, of each field and value class in it,
+    when the class was first and last seen and the best row that has it. Rows collapse to
+    one per (key, field, class) before anything is gathered, so v has at most
+    ``len(fields) * (CLASSES + 1)`` entries however many rows a key has."""
+    trusted = F.array(*(F.lit(f.by_trust) for f in fields))
+    seen = F.array(F.struct(F.lit(-1).alias("f"), F.lit(0).alias("c")), *(F.when(F.col(f"c{k}").isNotNull(), F.struct(F.lit(k).alias("f"), F.col(f"c{k}").alias("c"))) for k in range(len(fields))))
+    each = narrow.select("key", "id", "at", "trust", F.explode(F.array_compact(seen)).alias("v")).select("key", "id", "at", "trust", "v.f", "v.c")
+    counts = F.coalesce(F.get(trusted, F.col("f")), F.lit(False))
+    rank = F.struct(F.when(counts, F.col("trust")).otherwise(0).alias("trust"), F.col("at").isNotNull().alias("known"), F.col("at").alias("at"))
+    spans = each.groupBy("key", "f", "c").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.max(rank).alias("rank"),
+        F.max_by("id", F.struct(rank.alias("r"), (-F.col("id")).alias("i"))).alias("id"), F.count(F.lit(1)).alias("n"),
     )
-    pairs = spans.select("f", F.explode("s").alias("a"), "s").select("f", "a", F.explode("s").alias("b"))
-    votes = pairs.where(F.col("a.last") < F.col("b.first")).groupBy("f", F.col("a.c").alias("x"), F.col("b.c").alias("y")).count()
+    entry = F.struct("f", "c", "first", "last", "rank", "id")
+    return spans.groupBy("key").agg(F.max(F.when(F.col("f") < 0, F.col("n"))).alias("n"), F.collect_list(F.when(F.col("f") >= 0, entry)).alias("v"))
+
+
+def learn_precedence(groups: DataFrame, fields: list[Field]) -> list[dict[int, frozenset[int]]]:
+    """Which value classes follow which, per field, learned from all rows with a timestamp."""
+    pairs = groups.where(F.size("v") > 1).select(F.explode("v").alias("a"), "v").where("a.last is not null").select("a", F.explode("v").alias("b"))
+    votes = pairs.where((F.col("a.f") == F.col("b.f")) & (F.col("a.last") < F.col("b.first"))).groupBy("a.f", F.col("a.c").alias("x"), F.col("b.c").alias("y")).count()
     by: list[list[tuple[int, int, int]]] = [[] for _ in fields]
     for r in votes.collect():  # at most len(fields) * (CLASSES + 1) ** 2 rows
         by[r["f"]].append((r["x"], r["y"], r["count"]))
-    return [precedence_levels(v) for v in by]
+    return [precedence(v) for v in by]
 
 
 def best_fields(
@@ -142,25 +147,30 @@ def best_fields(
     value survives; nothing for a field without a usable value.
 
     Most trusted first where the field says so (an unknown trust is the lowest), then the
-    latest timestamp, a null one being older than any other; then the topologically latest
-    value class; then the smallest id. Rows with a null key belong to no group; a null
+    latest timestamp, a null one being older than any other. Where that leaves several
+    versions, for times are missing or equal, the value classes among them are ordered by
+    the learned precedence, which may leave some without an order; of those that none of the
+    others follows, the smallest id is taken. Rows with a null key belong to no group; a null
     usability is none; repeated rows are versions like any other; extra columns are ignored;
     an empty table gives an empty result.
     """
     stage = stage or Stage(rows.sparkSession, "survivors")
-    narrow = stage.write(_narrow(rows, fields, key, id_col, at, trust), "narrow")
-    levels = learn_precedence(narrow, fields)
-    picks = []
-    for k, f in enumerate(fields):
-        c = F.col(f"c{k}")
-        level = F.lit(-1)
-        for value, n in sorted(levels[k].items()):
-            level = F.when(c == value, F.lit(n)).otherwise(level)
-        order = F.struct(
-            (F.col("trust") if f.by_trust else F.lit(0)).alias("t"), F.col("at").isNotNull().alias("k"), F.col("at").alias("u"),
-            level.alias("l"), (-F.col("id")).alias("i"),
-        )
-        picks.append(F.max_by("id", F.when(c.isNotNull(), order)).alias(f.name))  # a null order is passed over
-    best = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *picks).where("_n > 1")
-    entries = F.explode(F.array(*(F.struct(F.lit(f.name).alias("field"), F.col(f.name).alias("id")) for f in fields)))
-    return best.select(F.col("key").alias(key), entries.alias("e")).select(key, "e.field", F.col("e.id").alias(id_col)).where(F.col(id_col).isNotNull())
+    groups = stage.write(versions(_narrow(rows, fields, key, id_col, at, trust), fields), "groups")
+    later = learn_precedence(groups, fields)
+
+    def tied(k: int) -> Column:
+        """Of a field the versions that trust and time leave."""
+        own = F.filter("v", lambda e: e["f"] == k)
+        top = F.array_max(F.transform(own, lambda e: e["rank"]))
+        return F.filter(own, lambda e: e["rank"] == top)
+
+    picks = [F.struct(F.lit(f.name).alias("field"), tied(k).alias("tied"), F.lit(k).alias("f")) for k, f in enumerate(fields)]
+    each = groups.where("n > 1").select("key", F.explode(F.array(*picks)).alias("p")).select("key", "p.field", "p.f", "p.tied").where(F.size("tied") > 0)
+    # the partial order of one group: of its classes those that no other one follows
+    after = F.create_map(*(x for k, order in enumerate(later) for c, then in sorted(order.items()) for x in (F.lit(k * 100 + c), F.array(*map(F.lit, sorted(then))).cast("array<int>")))) if any(later) else None
+    last = F.col("tied")
+    if after is not None:
+        present = F.transform("tied", lambda e: e["c"])
+        follows = lambda e: F.coalesce(F.try_element_at(after, F.col("f") * 100 + e["c"]), F.array().cast("array<int>"))
+        last = F.when(F.size("tied") > 1, F.filter("tied", lambda e: ~F.arrays_overlap(follows(e), present))).otherwise(F.col("tied"))
+    return each.select(F.col("key").alias(key), "field", F.array_min(F.transform(last, lambda e: e["id"])).alias(id_col))

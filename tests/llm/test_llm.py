@@ -103,8 +103,25 @@ def test_precedence_is_learned_where_time_is_missing(spark):
             rows.append((k, f"t{g}", None, None, 99, n, None, "pdf", _stamp(day), None))
     rows += [(901, "u", None, None, 99, 16, None, "pdf", None, None), (900, "u", None, None, 99, 4, None, "pdf", None, None), (902, "u", None, None, 99, 1, None, "pdf", None, None)]
     assert _best(spark, rows)["u", "team_count"] == 901
-    assert survivors.precedence_levels([(1, 2, 5), (2, 1, 3), (2, 3, 1), (3, 4, 1), (4, 3, 1)]) == {1: 0, 2: 1, 3: 2, 4: 0}
-    assert survivors.precedence_levels([(0, 1, 2), (1, 2, 2), (2, 0, 2), (2, 3, 1)]) == {0: 0, 1: 0, 2: 0, 3: 1}
+    assert survivors.precedence([(1, 2, 5), (2, 1, 3), (2, 3, 1), (3, 4, 1), (4, 3, 1)]) == {1: {2, 3}, 2: {3}, 3: set(), 4: set()}
+    assert survivors.precedence([(0, 1, 2), (1, 2, 2), (2, 0, 2), (2, 3, 1)]) == {0: {3}, 1: {3}, 2: {3}, 3: set()}
+
+
+def test_orders_are_partial_and_per_group(spark):
+    """Two histories that never meet: 1 before 4, and 2 before 8 before 32 (as team counts)."""
+    rows, k = [], 0
+    for g in range(6):
+        for h, counts in (("a", (1, 4)), ("b", (2, 8, 32))):
+            for day, n in enumerate(counts, 1):
+                k += 1
+                rows.append((k, f"{h}{g}", None, None, 99, n, None, "pdf", _stamp(day), None))
+    at = lambda i, key, n, t=None: (i, key, None, None, 99, n, None, "pdf", t, None)
+    rows += [at(100, "chain", 2), at(101, "chain", 32), at(102, "chain", 8)]
+    rows += [at(110, "apart", 8), at(111, "apart", 4), at(112, "apart", 1), at(113, "apart", 2)]  # 4 and 8 have no order: the smaller id
+    rows += [at(120, "equal", 8, _stamp(9)), at(121, "equal", 32, _stamp(9)), at(122, "equal", 2, _stamp(10))]  # times go first
+    rows += [at(130, "same time", 8, _stamp(9)), at(131, "same time", 32, _stamp(9)), at(132, "same time", 99, None)]
+    got = _best(spark, rows)
+    assert [got[g, "team_count"] for g in ("chain", "apart", "equal", "same time")] == [101, 110, 122, 131]
 
 
 def test_ties_and_empty(spark):
