@@ -12,7 +12,8 @@ from .operators.fulltext import TextIndex
 from .operators.ingest import index_rows
 from .plans.corpus import Corpus
 from .plans.search import Result, Tables, search
-from .plans.staging import Stage
+from .plans.staging import Folder, Stage
+from .streaming.ingest import CorpusSink
 
 
 @dataclass
@@ -22,9 +23,12 @@ class Engine:
 
     spark: SparkSession
     folder: str
+    #: A corpus and text index that last, taken in by ``ingest``; without one everything is
+    #: derived from the table card_records.
+    store: str | None = None
 
     def __post_init__(self) -> None:
-        self.corpus = Corpus(self.spark, self.folder)
+        self.corpus = Corpus(self.spark, self.folder, self.store and f"{self.store}/corpus")
         self.stage = Stage(self.spark, "engine")
         self._tables: Tables | None = None
 
@@ -41,6 +45,24 @@ class Engine:
         rows = self.stage.write(map_records(records), "ingested")
         return canonical_cards(rows), attach_variants(rows)
 
+    def ingest(self, files: list[str]) -> dict[str, int]:
+        """Take record files into the store; files seen before are skipped, a bad one stops no other."""
+        schema = self.corpus.table("card_records").schema
+        out = CorpusSink(self.spark, f"{self.store}/corpus").ingest_files(files, schema)
+        self.corpus, self._tables = Corpus(self.spark, self.folder, f"{self.store}/corpus"), None
+        return out
+
+    def reindex(self) -> TextIndex:
+        """Bring the stored text index up to the store: cards that it has not go in."""
+        rows, path = index_rows(self.corpus.cards, self.corpus.variants), f"{self.store}/index"
+        if Folder(self.spark, path).load():
+            rows = rows.join(TextIndex.load(self.spark, path).lengths.select("card_id"), "card_id", "left_anti")
+        return TextIndex.update(rows, path)
+
+    def backup(self, path: str) -> None:
+        """A copy of what the store holds: current rows as one folder."""
+        CorpusSink(self.spark, f"{self.store}/corpus").rows().write.parquet(path)
+
     def dedup(self, cards: DataFrame | None = None) -> DataFrame:
         """Merges (survivor_id, absorbed_id, relation) of near-duplicate cards."""
         stage = Stage(self.spark, "dedup")
@@ -66,7 +88,7 @@ class Engine:
             rows = index_rows(c.cards, c.variants)
             cards = self.stage.write(cards.join(rows.select("card_id", "block"), "card_id"), "cards")
             disclosures = self.stage.write(c.disclosures, "disclosures")
-            index = TextIndex.build(rows, self.stage)
+            index = self.reindex() if self.store else TextIndex.build(rows, self.stage)
             self._tables = Tables(cards.persist(), disclosures.persist(), c.topics.persist(), index.cached()) if cache else Tables(cards, disclosures, c.topics, index)
         return self._tables
 

@@ -17,6 +17,9 @@ from ..plans.staging import Stage
 SHINGLE = 5
 BANDS, ROWS = 16, 8
 DUP_JACCARD, TRIM_CONTAINMENT = 0.90, 0.95
+#: Cards of a band beyond which its pairs are made in blocks, and cards that one call of the merge takes
+#: (a component larger than that has a call of its own).
+BAND_BLOCK, MERGE_CARDS = 2000, 5000
 
 
 def shingle_hashes(norm: Column, k: int = SHINGLE) -> Column:
@@ -56,16 +59,21 @@ def _band_keys(shingles: pd.Series) -> pd.Series:
     return pd.Series(list(np.ascontiguousarray(out.T).view(np.int64)))
 
 
-def candidate_pairs(cards: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of cards that share a band. Cards with the very same shingles
+def candidate_pairs(cards: DataFrame, block: int = BAND_BLOCK) -> DataFrame:
+    """Distinct (a, b), a < b, of cards that share a band (by the minimum hashes of their shingles, so a
+    trim is sought only where the similarity is high too). A band of more than ``block`` cards is parted by hash and paired
+    part with part, so no join task gets all of it. Cards with the very same shingles
     and citation are one node in the bands, under the smallest id, and each of them is
     paired with that one: the merge treats them alike, and no group gives all its pairs."""
     same = cards.select("card_id", F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"), F.coalesce("cite", F.lit("")).alias("c"), "shingles")
     first = same.groupBy("h1", "h2", "c").agg(F.min("card_id").alias("a"), F.first("shingles").alias("shingles"))
     copies = same.join(first.select("h1", "h2", "c", "a"), ["h1", "h2", "c"]).where("card_id <> a").select("a", F.col("card_id").alias("b"))
     bands = first.select("a", F.explode(_band_keys("shingles")).alias("band"))
-    # every two of a band: a band of different texts is small, copies are out already
-    pairs = bands.join(bands.select(F.col("a").alias("b"), "band"), "band").where("a < b").select("a", "b")
+    parts = bands.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")).where("n > 1")
+    cut = bands.join(parts, "band", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("a"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cut = cut.select("a", "band", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    pairs = cut.join(cut.toDF("b", "band", "part_b", "lo", "hi"), ["band", "lo", "hi"]).where("a < b and (lo = hi or part <> part_b)").select("a", "b")
     return pairs.unionByName(copies).distinct()
 
 
@@ -86,7 +94,8 @@ def verified_pairs(cards: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def component_labels(pairs: DataFrame, stage: Stage) -> DataFrame:
-    """(card_id, component) by hashing to the smallest neighbour, again and again."""
+    """(card_id, component) by hashing to the smallest neighbour and jumping to its label,
+    which halves distances, until nothing changes; an error if that does not come about."""
     edges = stage.write(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v"), "edges")
     labels = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
     labels = stage.write(labels, "labels-0")
@@ -98,8 +107,10 @@ def component_labels(pairs: DataFrame, stage: Stage) -> DataFrame:
         step = stage.write(jump.select("u", F.coalesce(F.least("label", "up"), "label").alias("label"), "old"), f"labels-{turn}")
         labels = step.select("u", "label")
         if step.where("label <> old").isEmpty():
-            break
-    return labels.select(F.col("u").alias("card_id"), F.col("label").alias("component"))
+            return labels.select(F.col("u").alias("card_id"), F.col("label").alias("component"))
+        if turn > 1:
+            stage.drop(f"labels-{turn - 2}")
+    raise RuntimeError("the components did not settle")
 
 
 def _greedy(pairs: list[tuple[int, int]], cards: dict[int, dict]) -> list[tuple[int, int, str]]:
@@ -139,8 +150,10 @@ def greedy_merges(cards: DataFrame, pairs: DataFrame, stage: Stage | None = None
     share a call."""
     stage = stage or Stage(cards.sparkSession, "dedup")
     labels = component_labels(pairs, stage)
-    share = F.pmod(F.xxhash64("component"), F.lit(1024)).alias("share")
-    labels = labels.select("card_id", share)
+    shares = -(-labels.count() // MERGE_CARDS) or 1
+    large = labels.groupBy("component").count().where(F.col("count") > MERGE_CARDS).select("component", F.lit(True).alias("own"))
+    share = F.when(F.col("own"), F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(shares)))
+    labels = stage.write(labels.join(large, "component", "left").select("card_id", share.alias("share")), "shares")
     edges = pairs.join(labels.toDF("a", "group"), "a").select("group", "a", "b")
     nodes = cards.join(labels, "card_id").select(
         "share", "card_id", "n_tokens", "body_len", "shingles", X.cite_year_strict(F.col("cite")).alias("year"), X.author_tokens(F.col("cite")).alias("authors")

@@ -8,18 +8,19 @@ card in tokens. Ranking touches postings alone; texts are joined to the page tha
 from __future__ import annotations
 
 import html
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions.stem import Analyzer
 from ..plans.grammar import Term
-from ..plans.staging import Stage
+from ..plans.staging import Folder, Stage
 
 #: Columns and their weight in the score; constants of BM25.
 WEIGHTS = {"tag": 5.0, "cite": 3.0, "block": 2.0, "body": 1.0}
@@ -63,16 +64,69 @@ class TextIndex:
     stem: bool = True
 
     @classmethod
-    def build(cls, rows: DataFrame, stage: Stage, stem: bool = True) -> TextIndex:
-        """Index (card_id, tag, cite, block, body); null columns count as empty."""
-        raw = rows.select("card_id", *WEIGHTS).mapInArrow(_post(stem), _POSTINGS)
-        postings = stage.write(raw.repartitionByRange("term", "card_id").sortWithinPartitions("term", "card_id"), "postings")
+    def build(cls, rows: DataFrame, stage: Stage | Folder, stem: bool = True, name: str = "index") -> TextIndex:
+        """Index (card_id, tag, cite, block, body) under ``name``; null columns count as empty."""
+        spark = rows.sparkSession
+        rows.select("card_id", *WEIGHTS).mapInArrow(_post(stem), _POSTINGS).repartitionByRange("term", "card_id").sortWithinPartitions("term", "card_id").write.parquet(stage.path(f"{name}/postings"))
+        postings = spark.read.schema(_POSTINGS).parquet(stage.path(f"{name}/postings"))
         lengths = postings.groupBy("card_id").agg(F.sum(F.size("positions")).alias("length"))
         lengths = rows.select("card_id").join(lengths, "card_id", "left").select("card_id", F.coalesce("length", F.lit(0)).alias("length"))
-        lengths = stage.write(lengths, "lengths")
+        lengths.write.parquet(stage.path(f"{name}/lengths"))
+        lengths = spark.read.schema("card_id bigint, length bigint").parquet(stage.path(f"{name}/lengths"))
         n, total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         return cls(postings, lengths, n, total / n if n else 0.0, stem)
 
+    @classmethod
+    def update(cls, rows: DataFrame, path: str, stem: bool = True) -> TextIndex:
+        """Put rows into the index at ``path``, a folder that lasts; a card that is there
+        already is replaced. Costs the new rows, and the ids and lengths of the others."""
+        spark = rows.sparkSession
+        folder = Folder(spark, path)
+        manifest = {"segments": [], "lengths": None, "stem": stem, **folder.load()}
+        if manifest["stem"] != stem:
+            raise ValueError("the index was built with the other analyzer")
+        name = f"segment-{uuid.uuid4().hex}"
+        part = cls.build(rows, folder, stem, name)
+        lengths = part.lengths.withColumn("segment", F.lit(name))
+        if manifest["lengths"]:
+            held = spark.read.parquet(folder.path(manifest["lengths"]))
+            lengths = held.join(lengths.select("card_id"), "card_id", "left_anti").unionByName(lengths)
+        fresh = f"lengths-{uuid.uuid4().hex}"
+        lengths.write.parquet(folder.path(fresh))
+        old = manifest["lengths"]
+        folder.switch({"segments": [*manifest["segments"], name], "lengths": fresh, "stem": stem})
+        if old:
+            folder.drop(old)
+        return cls.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextIndex:
+        """The index as it was left by ``update``. A posting counts if its segment is the one
+        that its card was put in last."""
+        folder = Folder(spark, path)
+        manifest = folder.load()
+        lengths = spark.read.parquet(folder.path(manifest["lengths"]))
+        postings = None
+        for name in manifest["segments"]:
+            part = spark.read.schema(_POSTINGS).parquet(folder.path(f"{name}/postings"))
+            if len(manifest["segments"]) > 1:
+                part = part.join(lengths.where(F.col("segment") == name).select("card_id"), "card_id", "left_semi")
+            postings = part if postings is None else postings.unionByName(part)
+        n, total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return cls(postings, lengths.drop("segment"), n, total / n if n else 0.0, manifest["stem"])
+
+    @classmethod
+    def merge(cls, spark: SparkSession, path: str) -> TextIndex:
+        """Fold all segments into one, sorted by term."""
+        folder, index = Folder(spark, path), cls.load(spark, path)
+        manifest, name, fresh = folder.load(), f"segment-{uuid.uuid4().hex}", f"lengths-{uuid.uuid4().hex}"
+        index.postings.repartitionByRange("term", "card_id").sortWithinPartitions("term", "card_id").write.parquet(folder.path(f"{name}/postings"))
+        index.lengths.withColumn("segment", F.lit(name)).write.parquet(folder.path(fresh))
+        folder.switch({**manifest, "segments": [name], "lengths": fresh})
+        for old in (*manifest["segments"], manifest["lengths"]):
+            folder.drop(old)
+        return cls.load(spark, path)
+
     def cached(self) -> TextIndex:
         """The same index held in memory (and on disk beyond it) for repeated searches."""
         self.postings, self.lengths = self.postings.persist(), self.lengths.persist()

@@ -12,8 +12,11 @@ from .staging import Stage
 
 
 class Corpus:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    """``store`` names a corpus that was taken in piece by piece (``streaming.ingest``); without
+    one the records are those of the table card_records."""
+
+    def __init__(self, spark: SparkSession, folder: str, store: str | None = None):
+        self.spark, self.folder, self.store = spark, folder, store
         self.stage = Stage(spark, "corpus")
 
     def table(self, name: str, *columns: str) -> DataFrame:
@@ -22,16 +25,21 @@ class Corpus:
     @cached_property
     def mapped(self) -> DataFrame:
         """Records as card fields with their key, written once."""
+        if self.store:
+            from ..streaming.ingest import CorpusSink
+
+            return self.stage.write(CorpusSink(self.spark, self.store).rows(), "mapped")
         return self.stage.write(I.map_records(self.table("card_records")), "mapped")
 
     @cached_property
     def cards(self) -> DataFrame:
-        return I.canonical_cards(self.mapped)
+        """Canonical cards, written once."""
+        return self.stage.write(I.canonical_cards(self.mapped), "cards")
 
     @cached_property
     def variants(self) -> DataFrame:
         own = I.attach_variants(self.mapped).drop("tag", "body_text", "norm", "fullcite", "cite")
-        return own.join(self.cards.select("canonical_key", "card_id"), "canonical_key")
+        return self.stage.write(own.join(self.cards.select("canonical_key", "card_id"), "canonical_key"), "variants")
 
     @cached_property
     def rounds(self) -> DataFrame:

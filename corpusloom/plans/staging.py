@@ -8,6 +8,7 @@ it, so a lost executor costs a re-read and never a failed job.
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 
@@ -31,6 +32,52 @@ def shared_dir(spark: SparkSession) -> str:
     return _roots[app]
 
 
+class Folder:
+    """A folder that lasts, with a manifest that says what in it counts.
+
+    Writers write under names of their own first and switch the manifest last, so a reader
+    or a run after a failure sees all of a change or nothing. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.root = spark, path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def load(self) -> dict:
+        # a switch that was cut short has left the complete new manifest beside
+        for name in ("manifest.json", "manifest.new"):
+            at = self._hadoop(self.path(name))
+            if self._fs.exists(at):
+                stream = self._fs.open(at)
+                try:
+                    return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                finally:
+                    stream.close()
+        return {}
+
+    def switch(self, manifest: dict) -> None:
+        fresh, now = self._hadoop(self.path("manifest.new")), self._hadoop(self.path("manifest.json"))
+        stream = self._fs.create(fresh, True)
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+        self._fs.delete(now, False)
+        self._fs.rename(fresh, now)
+
+    def drop(self, name: str) -> None:
+        self._fs.delete(self._hadoop(self.path(name)), True)
+
+    def stamp(self, path: str) -> str:
+        """What tells whether a file has changed: its length and time of change."""
+        at = self._hadoop(path)
+        status = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        return f"{status.getLen()}-{status.getModificationTime()}"
+
+
 class Stage:
     """A folder of staged tables of one operator call.
 

@@ -1,53 +1,64 @@
-"""Incremental ingest: records arrive as a stream, cards and variants are kept up to date.
+"""Incremental ingest: records arrive as a stream or as files, cards and variants are kept up to date.
 
-The sink is a log: every micro-batch is mapped and appended as a folder of its own, under
-its number, so a batch that is delivered again replaces itself and none costs more than its
-own rows. The log is what lies in the folder, so a stream that goes on later finds it. What is current (the latest version of each external id, and the cards and
-variants that follow) is a view over the log; ``compact`` folds the log into one folder.
+The corpus is a log in a folder that lasts: every batch is mapped and written as a folder of
+its own, and a manifest, switched last, says which of them count. A batch that is delivered
+again replaces itself, none costs more than its own rows, and a run after a failure goes on
+where the last one ended. What is current (the latest version of each external id, and the
+cards and variants that follow) is a view over the log; ``compact`` folds it.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ingest as I
-from ..plans.staging import Stage
+from ..plans.staging import Folder
 
 
 class CorpusSink:
-    """Records of all batches so far, in a folder, with the tables derived from them."""
+    """Records of all batches so far, with the tables derived from them."""
 
-    def __init__(self, spark: SparkSession, stage: Stage):
-        self.spark, self.stage = spark, stage
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, Folder(spark, folder)
 
-    def parts(self) -> list[str]:
-        """Folders of the log that were written to their end."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        root = path(self.stage.path("log"))
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(f"log/{n}" for n in names if fs.exists(path(self.stage.path(f"log/{n}/_SUCCESS"))))
+    def manifest(self) -> dict:
+        """parts (name of a batch -> folder), files (path -> stamp), failed (path -> reason)."""
+        return {"parts": {}, "files": {}, "failed": {}, **self.folder.load()}
 
-    def merge(self, records: DataFrame, batch: int) -> None:
-        """Take in a batch."""
-        I.map_records(records).write.mode("overwrite").parquet(self.stage.path(f"log/batch={batch}"))
+    def merge(self, records: DataFrame, batch: str | int, **changes: dict) -> None:
+        """Take in a batch; ``changes`` go into the manifest with it."""
+        part = f"log/{uuid.uuid4().hex}"
+        I.map_records(records).write.parquet(self.folder.path(part))
+        manifest = self.manifest()
+        before = manifest["parts"].get(str(batch))
+        manifest["parts"][str(batch)] = part
+        for name, values in changes.items():
+            manifest[name].update(values)
+        self.folder.switch(manifest)
+        if before:
+            self.folder.drop(before)
 
     def compact(self) -> None:
-        """Fold the log into one folder of current rows; the old folders go afterwards."""
-        old = self.parts()
-        self.rows().write.parquet(self.stage.path(f"log/folded={uuid.uuid4().hex}"))
-        for name in old:
-            self.stage.drop(name)
+        """Fold the log into one folder of current rows; the old folders go once the manifest names the new one."""
+        manifest = self.manifest()
+        old = manifest["parts"]
+        if not old:
+            return
+        part = f"log/{uuid.uuid4().hex}"
+        self.rows().write.parquet(self.folder.path(part))
+        self.folder.switch({**manifest, "parts": {f"folded-{part[4:]}": part}})
+        for name in old.values():
+            self.folder.drop(name)
 
     def rows(self) -> DataFrame:
         """Current rows: each record once, of each external id the latest version."""
-        # each folder is read by its own path, so the names of the folders add no column
-        log = None
-        for name in self.parts():
-            part = self.spark.read.parquet(self.stage.path(name))
-            log = part if log is None else log.unionByName(part)
+        parts = sorted(self.manifest()["parts"].values())
+        if not parts:
+            raise FileNotFoundError(f"nothing was taken into {self.folder.root} yet")
+        log = self.spark.read.parquet(*map(self.folder.path, parts))
         return I.latest_versions(log.dropDuplicates(["record_id"]), I.external_number(F.col("external_id")))
 
     def read(self, table: str) -> DataFrame:
@@ -55,15 +66,37 @@ class CorpusSink:
         rows = self.rows()
         return {"rows": lambda: rows, "cards": lambda: I.canonical_cards(rows), "variants": lambda: I.attach_variants(rows)}[table]()
 
+    def ingest_files(self, files: Sequence[str], schema) -> dict[str, int]:
+        """Take in record files, each a batch of its own that counts once it is written; the
+        number of files done, skipped (seen before and not changed since) and failed. A file
+        that cannot be read is noted with its reason, is tried again by the next run and
+        stops no other."""
+        out = {"done": 0, "skipped": 0, "failed": 0}
+        for path in sorted(files):  # a list of files, not of rows
+            try:
+                stamp = self.folder.stamp(path)
+                if self.manifest()["files"].get(path) == stamp:
+                    out["skipped"] += 1
+                    continue
+                self.merge(self.spark.read.schema(schema).parquet(path), f"file {path}", files={path: stamp}, failed={path: ""})
+                out["done"] += 1
+            except Exception as e:  # whatever is wrong with one file
+                manifest = self.manifest()
+                manifest["failed"][path] = str(e).splitlines()[0]
+                self.folder.switch(manifest)
+                out["failed"] += 1
+        return out
 
-def ingest_stream(spark: SparkSession, source: str, schema, stage: Stage, files_per_batch: int = 1) -> CorpusSink:
-    """Run a stream of record files (a path or pattern) to its present end. Called again on
-    the same stage, it goes on with the files that have come since."""
-    sink = CorpusSink(spark, stage)
+
+def ingest_stream(spark: SparkSession, source: str, schema, folder: str, files_per_batch: int = 1) -> CorpusSink:
+    """Run a stream of record files (a path or pattern) into the corpus at ``folder`` to its
+    present end. The checkpoint lies in the folder too, so called again, by whatever
+    process, it goes on with the files that have come since."""
+    sink = CorpusSink(spark, folder)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = (
-        stream.writeStream.foreachBatch(lambda df, n: sink.merge(df, n))
-        .option("checkpointLocation", stage.path("checkpoint")).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(lambda df, n: sink.merge(df, f"stream {n}"))
+        .option("checkpointLocation", sink.folder.path("checkpoint")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return sink

@@ -111,25 +111,61 @@ def test_merges_move_rows_without_doubling(spark):
 
 
 def test_stream_batches_are_idempotent(spark):
-    sink = CorpusSink(spark, Stage(spark, "sink"))
+    sink = CorpusSink(spark, Stage(spark, "sink").path("corpus"))
     first, again = records(spark, *ROWS[:3]), records(spark, {**ROWS[0], "record_id": 11, "body_text": "changed text"})
     sink.merge(first, 0)
     before = sorted(map(tuple, sink.read("cards").select("card_id", "canonical_key").collect()))
+    sink.merge(first, 0)
     sink.merge(first, 1)
-    assert sorted(map(tuple, sink.read("cards").select("card_id", "canonical_key").collect())) == before
+    assert sorted(map(tuple, sink.read("cards").select("card_id", "canonical_key").collect())) == before and len(sink.manifest()["parts"]) == 2
     sink.merge(again, 2)
     after = {r.card_id for r in sink.read("cards").collect()}
     assert after == {2, 3, 11}  # record 1 was replaced; its text lives on with record 2
-    sink.compact()
-    assert {r.card_id for r in sink.read("cards").collect()} == after and sink.read("variants").count() == 2  # 3 and 11 share a place in one document
+    for k in range(5):  # batches between compactions
+        sink.compact()
+        sink.merge(records(spark, {"record_id": 100 + k, "tag": f"one more {k}"}), f"b{k}")
+    assert {r.card_id for r in sink.read("cards").collect()} == after | {100, 101, 102, 103, 104}
+    assert sink.read("variants").where("record_id < 100").count() == 2  # 3 and 11 share a place in one document
 
 
-def test_stream_goes_on_with_what_lies_in_its_stage(spark):
+def test_stream_goes_on_with_what_lies_in_its_folder(spark):
     stage = Stage(spark, "resumed")
     for k in range(3):
         records(spark, *ROWS[k : k + 1]).coalesce(1).write.mode("append").parquet(stage.path("arrived"))
-        sink = ingest_stream(spark, f"{stage.path('arrived')}/*.parquet", spark.read.parquet(stage.path("arrived")).schema, stage)
+        sink = ingest_stream(spark, f"{stage.path('arrived')}/*.parquet", spark.read.parquet(stage.path("arrived")).schema, stage.path("corpus"))
         assert {r.record_id for r in sink.read("rows").collect()} == {r["record_id"] for r in ROWS[: k + 1]}
         sink.compact()
-    again = ingest_stream(spark, f"{stage.path('arrived')}/*.parquet", spark.read.parquet(stage.path("arrived")).schema, stage)
+    again = ingest_stream(spark, f"{stage.path('arrived')}/*.parquet", spark.read.parquet(stage.path("arrived")).schema, stage.path("corpus"))
     assert again.read("rows").count() == 3
+
+
+def test_files_resume_and_fail_apart(spark, tmp_path):
+    """Four files, one of them broken, a stop after two: the rest comes later, nothing twice; search on what lasts."""
+    from corpusloom.engine import Engine
+
+    folder, store = tmp_path / "tables", f"file://{tmp_path}/store"
+    records(spark).write.parquet(str(folder / "card_records.parquet"))
+    for k, row in enumerate(ROWS[:3]):
+        records(spark, row).coalesce(1).write.parquet(str(tmp_path / f"f{k}.parquet"))
+    (tmp_path / "f3.parquet").write_bytes(b"no parquet")
+    files = [str(tmp_path / f"f{k}.parquet") for k in range(4)]
+    assert Engine(spark, str(folder), store).ingest(files[:2]) == {"done": 2, "skipped": 0, "failed": 0}
+    engine = Engine(spark, str(folder), store)
+    assert engine.ingest(files) == {"done": 1, "skipped": 2, "failed": 1}
+    assert CorpusSink(spark, f"{store}/corpus").manifest()["failed"][files[3]]
+    assert {r.card_id for r in engine.corpus.cards.collect()} == {1, 3}
+    index = engine.reindex()
+    assert index.rows == 2
+    from corpusloom.operators.fulltext import TextIndex
+    from corpusloom.plans.grammar import Term
+
+    new = spark.createDataFrame([(9, "grid", "", "", "new words"), (1, "replaced", "", "", "nothing else")], "card_id bigint, tag string, cite string, block string, body string")
+    TextIndex.update(new, f"{store}/index")
+    for opened in (TextIndex.load, TextIndex.merge):
+        index = opened(spark, f"{store}/index")
+        assert {r.card_id for r in index.match([Term("grid")]).collect()} == {9} and index.rows == 3
+        fresh = TextIndex.build(new.unionByName(spark.createDataFrame([(3, "Only a tag", "", "", "")], new.schema)), Stage(spark, "t"))
+        score = lambda x: {(r.card_id, round(r.score, 9)) for r in x.match([Term("grid")]).collect()}
+        assert score(index) == score(fresh)
+    engine.backup(str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 3
