@@ -337,5 +337,5 @@ def human_bytes(n: Column) -> Column:
     """Size with one decimal in the largest unit that leaves one before the point."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_number(n / 1024**k, 1), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**k)), 1))).otherwise(out)
     return out

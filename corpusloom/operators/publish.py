@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from html import escape
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..plans.staging import Stage
+from ..plans.staging import Folder, Stage
 from .ingest import number_rows, ranged
 
 
@@ -65,6 +66,34 @@ def write_published(cards: DataFrame, path: str, rows_per_file: int = 500_000) -
     cards.repartitionByRange("card_id").sortWithinPartitions("card_id").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def write_generation(cards: DataFrame, path: str, rows_per_file: int = 500_000, keep: int = 2) -> str:
+    """Publish under a name made of the content, so that readers may cache what they fetched,
+    then let the manifest name it; the ``keep`` latest generations stay for readers of the
+    one before. What is written is counted again before it counts. Returns the name."""
+    folder = Folder(cards.sparkSession, path)
+    fresh = f"generation-{uuid.uuid4().hex}"
+    write_published(cards, folder.path(fresh), rows_per_file)
+    total = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    n, content = total(cards.sparkSession.read.schema(cards.schema).parquet(folder.path(fresh)))
+    if (n, content) != tuple(total(cards)):
+        folder.drop(fresh)
+        raise RuntimeError("what was written is not what was to be published")
+    now = [g for g in folder.load().get("generations", []) if g["content"] != f"{n}-{content}"]
+    now.append({"folder": fresh, "content": f"{n}-{content}"})
+    old = folder.load().get("generations", [])
+    folder.switch({"generations": now[-keep:]})
+    for g in old:
+        if g not in now[-keep:]:
+            folder.drop(g["folder"])
+    return now[-1]["content"]
+
+
+def read_generation(spark: SparkSession, path: str, back: int = 0) -> DataFrame:
+    """The latest generation, or the one ``back`` before it."""
+    folder = Folder(spark, path)
+    return spark.read.parquet(folder.path(folder.load()["generations"][-1 - back]["folder"]))
+
+
 def verify_published(cards: DataFrame, index_rows: int, found: int) -> list[str]:
     """What is wrong with a published corpus: row counts that differ, a probe not found."""
     n = cards.count()

@@ -143,4 +143,10 @@ def _(spark, sf):
 
 @query("q_z6_dedup_events", "SELECT event_id, event_type FROM events")
 def _(spark, sf):
-    return W.run(W.without_repeats(W.events(spark, sf), "event_id").select("event_id", "event_type"), Stage(spark, "repeats"), "out")
+    """Every event delivered three times, in several files."""
+    stage = Stage(spark, "repeats")
+    once = Corpus(spark, sf).table("events")
+    once.unionByName(once).unionByName(once).repartition(6).write.parquet(stage.path("in/events.parquet"))
+    # a replay reads all files in one trigger: their times overlap, and none is late
+    stream = W.events(spark, stage.path("in"), files_per_batch=1_000_000)
+    return W.run(W.without_repeats(stream, "event_id").select("event_id", "event_type"), stage, "out")
