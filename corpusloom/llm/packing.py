@@ -21,6 +21,8 @@ from ..plans.staging import Stage
 CAPACITY = 2048
 #: Number of groups of large sizes; sizes up to capacity / SMALL_PART are small.
 GROUPS, SMALL_PART = 48, 8
+#: Items of one size that one task sorts.
+SLICE = 500_000
 
 
 def _configuration(left: dict[int, int], capacity: int) -> list[int]:
@@ -146,11 +148,14 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, stage: Stage | None = None,
     last = F.floor((F.col("whole") - 1) / capacity).cast("int")
     pieces = items.select(id_col, "whole", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.select(id_col, "piece", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("piece").cast("long") * capacity).cast("int").alias("size"))
-    # ranks within a size without gathering a size: number the rows of (size, slice), then add the slices before
-    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64(id_col, "piece"), F.lit(64)).cast("int"))
+    # ranks within a size without gathering a size: number the rows of (size, slice), then add
+    # the slices before; a size has a slice for every SLICE items
     pieces = stage.write(pieces, "pieces")
+    slices = [(r["size"], -(-r["count"] // SLICE)) for r in pieces.groupBy("size").count().collect()]  # at most capacity rows
+    slices = spark.createDataFrame(slices, "size int, slices int")
+    pieces = pieces.join(F.broadcast(slices), "size").withColumn("slice", F.pmod(F.xxhash64(id_col, "piece"), F.col("slices")).cast("int")).drop("slices")
     counts = pieces.groupBy("size", "slice").count()
-    counted = [(r["size"], r["slice"], r["count"]) for r in counts.collect()]  # at most capacity * 64 rows
+    counted = [(r["size"], r["slice"], r["count"]) for r in counts.collect()]  # at most capacity rows and one for every SLICE items
     histogram: dict[int, int] = {}
     before = []
     for size, part, n in sorted(counted):
