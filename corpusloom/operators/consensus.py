@@ -19,9 +19,12 @@ def layers(cards: DataFrame, variants: DataFrame) -> DataFrame:
     """(card_id, place, marked, summarised): per word of each body the number of variants
     that have it in a layer. Counts are summed per word with partial sums, so a card with
     very many variants is no larger task than others."""
-    rows = variants.where(F.col("markup_html") != "").select("card_id", "markup_html").join(cards.where(F.col("body_text") != "").select("card_id", "body_text"), "card_id")
-    words = rows.select("card_id", F.posexplode(_vectors("body_text", "markup_html")).alias("place", "v"))
-    return words.groupBy("card_id", "place").agg(F.count_if("v.mark").alias("marked"), F.count_if("v.summary").alias("summarised"))
+    # variants with one markup are parsed once and counted
+    own = variants.where(F.col("markup_html") != "").groupBy("card_id", "markup_html").agg(F.count(F.lit(1)).alias("n"))
+    rows = own.join(cards.where(F.col("body_text") != "").select("card_id", "body_text"), "card_id")
+    words = rows.select("card_id", "n", F.posexplode(_vectors("body_text", "markup_html")).alias("place", "v"))
+    having = lambda layer: F.sum(F.when(F.col(f"v.{layer}"), F.col("n")).otherwise(0))
+    return words.groupBy("card_id", "place").agg(having("mark").alias("marked"), having("summary").alias("summarised"))
 
 
 def weights(counts: DataFrame) -> DataFrame:
