@@ -169,3 +169,31 @@ def test_files_resume_and_fail_apart(spark, tmp_path):
         assert score(index) == score(fresh)
     engine.backup(str(tmp_path / "copy"))
     assert spark.read.parquet(str(tmp_path / "copy")).count() == 3
+
+
+def test_windows_close_and_late_events_do_not_open_them_again(spark):
+    """Append mode, file by file: a window comes out once, closed; repeats within the bound count once; what comes too late is left out."""
+    import time
+    from datetime import datetime
+
+    from corpusloom.streaming import windows as W
+
+    def day(n, hour=1):
+        return datetime(2024, 1, n, hour)
+
+    stage = Stage(spark, "late")
+    files = [
+        [(1, day(1)), (2, day(2)), (2, day(2)), (3, day(3))],
+        [(3, day(3)), (4, day(2, 23)), (5, day(4))],  # a repeat, and one that is late but within a day of the latest
+        [(6, day(9))],
+        [(8, day(9, 5)), (8, day(9, 5))],
+        [(7, day(3))],  # days after its window was closed
+        [(9, day(20))],
+    ]
+    for rows in files:
+        spark.createDataFrame([(k, t, 1, "x", 1.0, None) for k, t in rows], W.EVENTS).coalesce(1).write.mode("append").parquet(stage.path("in/events.parquet"))
+        time.sleep(0.05)  # files are taken in order of their time
+    counted = W.run(W.tumbling(W.events(spark, stage.path("in"))), stage, "windows")
+    assert sorted((r.start.day, r.n) for r in counted.collect()) == [(1, 1), (2, 3), (3, 2), (4, 1), (9, 3)]
+    once = W.run(W.without_repeats(W.events(spark, stage.path("in")), "event_id").select("event_id"), stage, "once")
+    assert sorted(r.event_id for r in once.collect()) == [1, 2, 3, 4, 5, 6, 8, 9]
