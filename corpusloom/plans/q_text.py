@@ -32,7 +32,7 @@ def _(spark, sf):
     return _cites(spark, sf).select("cite", X.cite_year_search(F.col("cite")).alias("year"))
 
 
-@query("q_x5_cite_year_strict", f"SELECT cite, list_filter(regexp_extract_all(cite, '(?:^|[^0-9A-Za-z])([0-9]{{4}}|[0-9]{{2}})(?:$|[^0-9A-Za-z])', 1), lambda x: length(x) = 2 OR x[1:2] IN ('19', '20'))[-1][-2:] AS year {_CITES}")
+@query("q_x5_cite_year_strict", f"SELECT cite, list_filter(regexp_extract_all(regexp_replace(cite, '([^0-9A-Za-z])', '\\1\\1', 'g'), '(?:^|[^0-9A-Za-z])([0-9]{{4}}|[0-9]{{2}})(?:$|[^0-9A-Za-z])', 1), lambda x: length(x) = 2 OR x[1:2] IN ('19', '20'))[-1][-2:] AS year {_CITES}")
 def _(spark, sf):
     return _cites(spark, sf).select("cite", X.cite_year_strict(F.col("cite")).alias("year"))
 
