@@ -7,12 +7,14 @@ be ASCII only.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
 # All but a-z, 0-9 and the space, as ranges: Java matches the negated class with a single
@@ -56,6 +58,9 @@ against about without within
 PRO_WORDS = ("P", "PRO", "A", "AFF", "AFFIRMATIVE", "1")
 CON_WORDS = ("C", "CON", "N", "NEG", "NEGATIVE", "2")
 
+# Units of sizes, the largest first.
+BYTE_UNITS = ((1024**4, "TB"), (1024**3, "GB"), (1024**2, "MB"), (1024, "KB"))
+
 # The shapes of addresses and dates in full citations, and how far a date may lie from the front.
 URL_SHAPE, URL_TAIL = r"https?://[^\s\"'<>\)\]]+", r"[.,;:!?'’”]+$"
 DOCUMENT_URL_SHAPE, DOCUMENT_URL_TAIL = r"(?i)https?://[^\s<>\"'\)\]]+", r"[.,;:!?]+$"
@@ -333,9 +338,19 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-def human_bytes(n: Column) -> Column:
-    """Size with one decimal in the largest unit that leaves one before the point."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**k)), 1))).otherwise(out)
-    return out
+@arrow_udf(StringType())
+def _human_bytes(*factors: pa.Array) -> pa.Array:
+    def shown(n: int) -> str:
+        for least, unit in BYTE_UNITS:
+            if n >= least:
+                return f"{n / least:.1f} {unit}"
+        return f"{n} B"
+
+    return pa.array([None if None in row else shown(math.prod(row)) for row in zip(*(f.to_pylist() for f in factors), strict=True)], pa.string())
+
+
+def human_bytes(n: Column, *factors: Column) -> Column:
+    """Size with one decimal in the largest unit that leaves one before the point, of ``n`` times the ``factors``.
+
+    In Python: no product of integers is too long for it, and it prints all digits of a double as printf does."""
+    return _human_bytes(n, *factors)

@@ -137,7 +137,8 @@ def _(spark, sf):
 
 @query("q_x26_human_bytes", "SELECT id, CASE WHEN n >= 1024::BIGINT ** 4 THEN printf('%.1f TB', n / 1024::BIGINT ** 4) WHEN n >= 1024 ** 3 THEN printf('%.1f GB', n / 1024 ** 3) WHEN n >= 1024 ** 2 THEN printf('%.1f MB', n / 1024 ** 2) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024) ELSE n || ' B' END AS shown FROM (SELECT id, id * id * id * 17 AS n FROM cards)")
 def _(spark, sf):
-    return Corpus(spark, sf).table("cards", "id").select("id", X.human_bytes(F.col("id") * F.col("id") * F.col("id") * 17).alias("shown"))
+    """From id 815606 on the size is beyond bigint: the SQL needs wider ids there, this does not."""
+    return Corpus(spark, sf).table("cards", "id").select("id", X.human_bytes(F.col("id"), F.col("id"), F.col("id"), F.lit(17)).alias("shown"))
 
 
 @query("q_t5_block_scope", sql("SELECT DISTINCT card_id FROM (SELECT card_id, regexp_extract_all(lower(string_agg(block, ' ; ' ORDER BY block)), '[a-z0-9]+') AS w FROM (SELECT DISTINCT card_id, block FROM variant WHERE block <> '') GROUP BY 1) WHERE list_contains(w, 'pathogen') OR list_contains(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), 'alliance bad')", "variant"))

@@ -312,3 +312,22 @@ def test_against_duckdb(spark, name):
     a = sorted((tuple(plain(v) for v in r) for r in ours.select(*order).collect()), key=key)
     b = sorted((tuple(plain(v) for v in r) for r in theirs), key=key)
     assert a == b
+
+
+def test_sizes_beyond_bigint(spark, tmp_path):
+    """q_x26_human_bytes where id * id * id * 17 leaves bigint, after 815605; its SQL says the same of wider ids."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    ids = [None, -(10**9), -1, 0, 1, 80, 815605, 815606, 1040000, 10**9 + 1, 10**12]
+    spark.createDataFrame([(i,) for i in ids], "id bigint").write.parquet(str(tmp_path / "cards.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view cards as select id::hugeint as id from '{tmp_path}/cards.parquet/*.parquet'")
+    run = entry.queries()["q_x26_human_bytes"]
+    ours = run(spark, str(tmp_path))
+    assert ours.dtypes == [("id", "bigint"), ("shown", "string")]
+    assert set(map(tuple, ours.collect())) == set(con.execute(entry.oracle_sql()["q_x26_human_bytes"]).fetchall())
+    # the ends of bigint, where the SQL has no type that is wide enough
+    spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "id bigint").write.parquet(str(tmp_path / "ends" / "cards.parquet"))
+    ends = dict(map(tuple, run(spark, str(tmp_path / "ends")).collect()))
+    assert ends == {i: "%.1f TB" % (17 * i**3 / 2**40) if i > 0 else f"{17 * i**3} B" for i in (2**63 - 1, -(2**63))}

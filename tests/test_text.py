@@ -48,6 +48,12 @@ def test_lists(spark):
     assert _map(spark, X.read_time, [0, 250, 125, 1], "int") == ["0:00", "1:00", "0:30", "0:00"]
 
 
+def test_human_bytes(spark):
+    # 4503654602951885 and 4504644163416883 lie just beside 4096.05 and 4096.95 TB: no ties, though the shortest form of the quotient looks like one
+    cases = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1280: "1.2 KB", 1792: "1.8 KB", 1024**2 - 1: "1024.0 KB", 5 * 1024**3: "5.0 GB", 4503654602951885: "4096.1 TB", 4504644163416883: "4096.9 TB", 2**63 - 1: "8388608.0 TB", -5000: "-5000 B", None: None}
+    assert _map(spark, X.human_bytes, list(cases), "bigint") == list(cases.values())
+
+
 def test_sanitize():
     assert M.sanitize("<u><strong><mark>x</u></strong></mark>") == "<u><strong><mark>x</mark></strong></u>"
     assert M.sanitize('<p onclick="x" class="a&quot;b">t<script>alert(1)</script></p>') == '<p class="a&quot;b">talert(1)</p>'
